@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from claimloom.llm import packing, token_store
+from claimloom.llm import packing, pii, quality, token_store, toxicity
 
 QUERIES = {
     "op3_token_store": token_store.op3_token_store,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op8_pii": pii.op8_pii,
     "op9_packing": packing.op9_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE: dict[str, str] = {}
