@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from claimloom.llm import packing, pii, quality, token_store, toxicity
+from claimloom.llm import ann, mixing, packing, pii, quality, simhash, token_store, toxicity
 
 QUERIES = {
     "op3_token_store": token_store.op3_token_store,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_ann": ann.op6_ann,
+    "op7_simhash": simhash.op7_simhash,
     "op8_pii": pii.op8_pii,
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
