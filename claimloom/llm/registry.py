@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from claimloom.llm import ann, mixing, packing, pii, quality, simhash, token_store, toxicity
+from claimloom.llm import ann, line_dedup, mixing, packing, pii, quality, simhash, token_store, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_token_store": token_store.op3_token_store,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_mixing": mixing.op5_mixing,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.OP1_SQL}
