@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from claimloom.llm import ann, line_dedup, mixing, packing, pii, quality, simhash, token_store, toxicity
+from claimloom.llm import ann, line_dedup, mixing, packing, pii, quality, simhash, suffix_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_token_store": token_store.op3_token_store,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_mixing": mixing.op5_mixing,
