@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from claimloom.llm import ann, line_dedup, mixing, packing, pii, quality, simhash, suffix_dedup, token_store, toxicity
 
 QUERIES = {
@@ -15,5 +16,6 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.OP1_SQL}

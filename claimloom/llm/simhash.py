@@ -202,10 +202,10 @@ def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 def dedup(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each group: of its smallest doc_id the row whose columns' hash is least."""
     keep = groups(docs, width).filter("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    keep = keep.select(F.col("doc_id").alias("_keep"))
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    hashed = kept.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))))
-    return hashed.filter("_row = 1 OR doc_id IS NULL").select(*docs.columns)
+    keep = keep.select(F.col("doc_id").alias("_claimloom_keep"))
+    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_claimloom_keep")), "left_semi")
+    hashed = kept.withColumn("_claimloom_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))))
+    return hashed.filter("_claimloom_row = 1 OR doc_id IS NULL").select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
