@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from claimloom.plans import cleaning, learning, relations  # noqa: F401
+from claimloom.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
