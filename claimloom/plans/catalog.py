@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimloom.plans import cleaning, learning, relations  # noqa: F401
+from claimloom.plans import cleaning, learning, relations, serving  # noqa: F401
 from claimloom.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
