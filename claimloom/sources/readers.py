@@ -66,7 +66,7 @@ def corpus(spark: SparkSession, name: str, path: str, classes: int = 2, strict:
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-13: (name, text), a row a file."""
-    return spark.read.option("wholetext", True).text(folder).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("value").alias("text"))
+    return spark.read.text(folder, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("value").alias("text"))
 
 
 def stories(spark: SparkSession, folder: str) -> DataFrame:
