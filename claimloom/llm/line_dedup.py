@@ -27,12 +27,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialise, table
+from claimloom.llm.common import materialise, partitions, table
 
 MIN_CHARS, MAX_EDITS = 12, 2
 #: Rows of two numbers that are broadcast at most; beyond, the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 NULL_ID = (1 << 63) - 1
+#: Columns of the band that are looked at first; empty characters around a line.
+LOOK, PAD = 20, 4
 _REF = 1 << 62
 #: Groups of letters that are counted (a partition of the commonest).
 GROUPS = ("eE", "tTdD", "aAoO", "iIuU", "nNmM", "sSrR", "hHlL", " ")
@@ -53,15 +55,15 @@ def lines(docs: DataFrame) -> DataFrame:
     return held.select("doc_id", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("tag")).alias("ref"), "line")
 
 
-def first_places(every: DataFrame) -> DataFrame:
-    """(line, doc_id, ref): each distinct line with its first place.
+def first_places(every: DataFrame, *keys: str) -> DataFrame:
+    """(keys, doc_id, ref): the first place of each distinct line.
 
     The place is one decimal, so that the hash aggregation can hold it.
     """
     place = F.expr(f"cast((cast(doc_id as decimal(20,0)) + 9223372036854775808BD) * {_REF}BD + cast(ref as decimal(20,0)) as decimal(38,0))")
-    first = every.groupBy("line").agg(F.min(place).alias("p")).withColumn("ref", F.expr(f"pmod(p, {_REF}BD)"))
+    first = every.groupBy(*keys).agg(F.min(place).alias("p")).withColumn("ref", F.expr(f"pmod(p, {_REF}BD)"))
     doc_id = F.expr(f"cast(cast((p - ref) / {_REF}BD as decimal(20,0)) - 9223372036854775808BD as bigint)")
-    return first.select("line", doc_id.alias("doc_id"), F.col("ref").cast("long").alias("ref"))
+    return first.select(*keys, doc_id.alias("doc_id"), F.col("ref").cast("long").alias("ref"))
 
 
 def _segment(i: str, n: str) -> tuple[str, str]:
@@ -100,30 +102,61 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return lines(docs).join(ids, ["doc_id", "ref"], "left_semi").distinct()
 
 
-def edit_distance(a: str, b: str, k: str, most: int = MAX_EDITS) -> str:
-    """SQL for the edit distance of arrays of characters ``a`` (not the longer) and ``b``, exact up to ``k``.
+def _band(a: str, b: str, columns: str, k: str, most: int = MAX_EDITS) -> str:
+    """SQL for the state of the banded bit-parallel edit distance after some columns.
 
-    Bit r of a word stands for row j + most - (bits - 1) + r of column j: the
-    band moves down a row a column.  The distance is followed down the lowest
-    diagonal of the band to the last row, and along that to the end.
+    ``a`` (not the longer, of more than ``most`` characters) and ``b`` are arrays of
+    characters, ``a`` with PAD empty strings at both ends.  Bit r of a word
+    stands for row j + most - (bits - 1) + r of column j: the band moves down a
+    row a column.  ``d`` follows the lowest diagonal of the band to the last
+    row, and then that row; more than k + 2 * most can't come back to k.
     """
     bits = 2 * most + 2
     mask, top = (1 << bits) - 1, bits - 1
-    equal = f"""aggregate(sequence(0, {top}), 0L, (x, r) -> x | if(j + {most} - {top} + r between 1 and size({a})
-        AND {a}[j + {most} - {top} + r - 1] = {b}[j - 1], shiftleft(1L, r), 0L))"""
-    return f"""aggregate(sequence(1, size({b})),
+    n = f"(size({a}) - {2 * PAD})"
+    equal = " | ".join(f"if({a}[j + {most - top + r - 1 + PAD}] = {b}[j - 1], {1 << r}L, 0L)" for r in range(bits))
+    return f"""aggregate({columns},
       named_struct('vp', {((1 << (most + 1)) - 1) << (bits - most - 1)}L, 'vn', 0L, 'd', {most}),
-      (s, j) -> if(s.d > {k} + 2 * {most}, s, element_at(transform(array({equal}), x ->
+      (s, j) -> if(s.d > {k} + {2 * most}, s, element_at(transform(array({equal}), x ->
         element_at(transform(array(((((x & s.vp) + s.vp) ^ s.vp) | x | s.vn) & {mask}L), d0 ->
           element_at(transform(array(named_struct('hp', (s.vn | ~(d0 | s.vp)) & {mask}L, 'hn', d0 & s.vp)), h ->
             named_struct(
               'vp', (h.hn | ~(shiftrightunsigned(d0, 1) | h.hp)) & {mask}L,
               'vn', shiftrightunsigned(d0, 1) & h.hp,
-              'd', if(j <= size({a}) - {most},
+              'd', if(j <= {n} - {most},
                 s.d + if(shiftrightunsigned(d0, {top}) & 1L = 0L, 1, 0),
-                s.d + cast(shiftrightunsigned(h.hp, {top} - (j - (size({a}) - {most}))) & 1L as int)
-                    - cast(shiftrightunsigned(h.hn, {top} - (j - (size({a}) - {most}))) & 1L as int)))), 1)), 1)), 1)),
-      s -> s.d)"""
+                s.d + cast(shiftrightunsigned(h.hp, {top} - (j - ({n} - {most}))) & 1L as int)
+                    - cast(shiftrightunsigned(h.hn, {top} - (j - ({n} - {most}))) & 1L as int)))), 1)), 1)), 1)))"""
+
+
+def edit_distance(a: str, b: str, k: str) -> str:
+    """SQL for the edit distance of character arrays (see ``_band``), exact up to ``k``; more than that where it is more.
+
+    A few columns tell most pairs that are far apart.
+    """
+    far = f"{k} + 1"
+    some = _band(a, b, f"sequence(1, least({LOOK}, size({b})))", k)
+    return f"if(({some}).d > {k} + {2 * MAX_EDITS}, {far}, ({_band(a, b, f'sequence(1, size({b}))', k)}).d)"
+
+
+def _common(a: str, b: str) -> str:
+    """SQL for the length of the common beginning of two strings, by binary search."""
+    return f"""aggregate(sequence(1, 31), named_struct('lo', 0, 'hi', least(length({a}), length({b}))),
+      (s, i) -> if(s.lo >= s.hi, s, if(left({a}, (s.lo + s.hi + 1) div 2) = left({b}, (s.lo + s.hi + 1) div 2),
+        named_struct('lo', cast((s.lo + s.hi + 1) div 2 as int), 'hi', s.hi),
+        named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi + 1) div 2 as int) - 1))), s -> s.lo)"""
+
+
+def trimmed(pairs: DataFrame) -> DataFrame:
+    """Adds ``a`` and ``b``: the lines' characters between their common beginning and end, a few of the beginning kept."""
+    keep = MAX_EDITS + 1
+    rows = pairs.withColumn("_p", F.expr(f"greatest(0, {_common('a_line', 'b_line')} - {keep})"))
+    rows = rows.withColumn("_a", F.expr("substring(a_line, _p + 1)")).withColumn("_b", F.expr("substring(b_line, _p + 1)"))
+    rows = rows.withColumn("_ra", F.reverse("_a")).withColumn("_rb", F.reverse("_b"))
+    rows = rows.withColumn("_s", F.expr(f"greatest(0, least({_common('_ra', '_rb')}, length(_a) - {keep}))"))
+    pad = F.array_repeat(F.lit(""), PAD)
+    rows = rows.withColumn("a", F.concat(pad, F.split(F.expr("left(_a, length(_a) - _s)"), ""), pad)).withColumn("b", F.split(F.expr("left(_b, length(_b) - _s)"), ""))
+    return rows.drop("_p", "_a", "_b", "_ra", "_rb", "_s")
 
 
 def near(docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -144,8 +177,9 @@ def near(docs: DataFrame, first: DataFrame) -> DataFrame:
     b = held.select(F.col("doc_id").alias("b_doc_id"), F.col("ref").alias("b_ref"), F.col("line").alias("b_line"))
     full = pairs.join(a, ["a_doc_id", "a_ref"]).join(b, ["b_doc_id", "b_ref"])
     most = limit("length(a_line)")
-    split = full.withColumn("a", F.split("a_line", "")).withColumn("b", F.split("b_line", ""))
-    linked = split.filter(F.expr(f"{edit_distance('a', 'b', most)} <= {most}"))
+    # few bytes, but much to compute; written, since a filter would else be moved down and compute the arrays at each use
+    spread = materialise(trimmed(full.repartition(partitions(docs.sparkSession))), "line-pairs")
+    linked = spread.filter(F.expr(f"{edit_distance('a', 'b', most)} <= {most}"))
     a_first = F.expr("a_doc_id < b_doc_id OR (a_doc_id = b_doc_id AND a_ref < b_ref)")
     a, b = (F.struct(F.col(f"{x}_doc_id").alias("d"), F.col(f"{x}_ref").alias("r")) for x in "ab")
     ends = linked.select(F.when(a_first, b).otherwise(a).alias("x"), F.when(a_first, a).otherwise(b).alias("y"))
@@ -158,14 +192,14 @@ def marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     The lines' hashes take the place of their texts once equal lines are found.
     """
     every = lines(docs)
-    first = first_places(every)
-    links = materialise(near(docs, first), "line-links")
+    links = materialise(near(docs, first_places(every, "line")), "line-links")
     ends = links.select("doc_id", "ref", F.lit(1).alias("goes")).unionByName(links.select(F.col("other_doc").alias("doc_id"), F.col("other_ref").alias("ref"), F.lit(0).alias("goes")))
     ends = ends.groupBy("doc_id", "ref").agg(F.max("goes").alias("goes"), F.count("*").alias("links"))
-    h = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")]
-    named = first.select("doc_id", "ref", *h).join(ends, ["doc_id", "ref"], "left").select(F.col("doc_id").alias("first_doc"), F.col("ref").alias("first_ref"), "h1", "h2", "goes", "links")
-    named = materialise(named, "line-verdicts")
-    return named, every.select("doc_id", "ref", *h)
+    # 128 bits stand for a line's text from here on
+    hashed = every.select("doc_id", "ref", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
+    first = first_places(hashed, "h1", "h2")
+    named = first.join(ends, ["doc_id", "ref"], "left").select(F.col("doc_id").alias("first_doc"), F.col("ref").alias("first_ref"), "h1", "h2", "goes", "links")
+    return materialise(named, "line-verdicts"), hashed
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
