@@ -44,9 +44,10 @@ def encode(docs: DataFrame, vocab: str, end_id: int = END_ID) -> DataFrame:
             for at in range(0, len(batch), 500):
                 rows = batch.slice(at, 500)
                 packed, n = [], []
-                for text in rows.column(1).to_pylist():
-                    ids = np.append(enc.ids(text), enc.dtype.type(end_id))
-                    seen[np.unique(ids)] += 1
+                for ids in enc.many(rows.column(1).to_pylist()):
+                    ids = np.append(ids, enc.dtype.type(end_id))
+                    held = np.sort(ids)
+                    seen[held[np.append(True, held[1:] != held[:-1])]] += 1
                     packed.append(ids.tobytes())
                     n.append(len(ids))
                 some = some or bool(n)

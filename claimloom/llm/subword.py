@@ -1,23 +1,28 @@
-"""Token ids of whole texts, by the tokenizers library behind two caches.
-
-The vocabulary drops white space, and its normaliser and splitter never look
-across a blank, so a text's ids are its blank-separated chunks' ids in order.
-A chunk seen before is looked up.  A new one is split into the vocabulary's
-own pieces (letters, single digits, signs), and only pieces seen for the first
-time go to the library.  Chunks that are not plain Latin print, or that hold
-the marker of a special token, go to the library whole.
+"""Token ids of whole texts, by the tokenizers library behind a cache of pieces.
+
+The vocabulary's normaliser and splitter part a text into pieces (letters,
+single digits, signs) that are encoded each by itself.  A text of plain Latin
+print is split here by the same rule; only pieces that a worker sees for the
+first time go to the library, many in one call.  Of other texts, the
+blank-separated chunks that are not plain, or hold the marker of a special
+token, go to the library whole: nothing it does looks across a blank.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import regex
 
-#: The vocabulary's splitting rule (fixed value, read from its file's pre_tokenizer).
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Lower-case letters and numbers of the Latin blocks up to U+017F (fixed values).
+LETTERS, NUMBERS = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾"
+#: The vocabulary's splitting rule for such texts (fixed value, read from its file's pre_tokenizer).
+PIECES = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{LETTERS}{NUMBERS}]+")
+#: What is not plain Latin print, or marks a special token.
+UNUSUAL = re.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-\u017f]|<\|")
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -32,15 +37,14 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """``ids(text)``: the ids without special tokens, as a numpy array."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 900_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.keep = keep  # entries of a cache; bounds memory, not results
-        self.chunks: dict[str, bytes] = {}
+        self.keep = keep  # entries of the cache; bounds memory, not results
         self.pieces: dict[str, bytes] = {}
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, dtype=bool)  # ids that close a piece
@@ -51,7 +55,7 @@ class Encoder:
 
     def _learn_pieces(self, new: list[str]) -> None:
         """Encodes new pieces in one call; the ids that close a piece part them."""
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype=self.dtype)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype=self.dtype)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(new) and cuts[-1] == len(ids):
             raw, width, at = ids.tobytes(), self.dtype.itemsize, 0
@@ -62,30 +66,41 @@ class Encoder:
             for piece in new:
                 self.pieces[piece] = self._whole(piece)
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.chunks) + len(new) > self.keep:
-            self.chunks.clear()
+    def _parts(self, text: str) -> list[str]:
+        """A text's pieces; a chunk that goes to the library whole is one, marked by a line feed."""
+        if not UNUSUAL.search(text):
+            plain = text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+            return PIECES.findall(plain.lower())
+        return [p for c in text.replace("\n", " ").split(" ") for p in (["\n" + c] if UNUSUAL.search(c) else PIECES.findall(unicodedata.normalize("NFC", c).lower()))]
+
+    def many(self, texts: Iterable[str], group: int = 1_000_000) -> Iterator[np.ndarray]:
+        """The ids of each text; new pieces are learnt for about ``group`` characters at a time."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(self._parts(text))
+            size += len(text)
+            if size >= group:
+                yield from self._group(held)
+                held, size = [], 0
+        yield from self._group(held)
+
+    def _group(self, held: list[list[str]]) -> Iterator[np.ndarray]:
         if len(self.pieces) > self.keep:
             self.pieces.clear()
-        split = {}
-        for chunk in new:
-            if chunk and (max(chunk) >= "ɐ" or "<|" in chunk or not chunk.isprintable()):
-                self.chunks[chunk] = self._whole(chunk)
-            else:
-                plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-                split[chunk] = PIECES.findall(plain.lower())
-        if unseen := list({p for x in split.values() for p in x if p not in self.pieces}):
-            self._learn_pieces(unseen)
-        for chunk, x in split.items():
-            self.chunks[chunk] = b"".join([self.pieces[p] for p in x])
+        get = self.pieces.get
+        found = [list(map(get, parts)) for parts in held]
+        new = {p for parts, ids in zip(held, found, strict=True) if None in ids for p, x in zip(parts, ids, strict=True) if x is None}
+        for chunk in [p for p in new if p[0] == "\n"]:
+            self.pieces[chunk] = self._whole(chunk[1:])
+            new.discard(chunk)
+        if new:
+            self._learn_pieces(list(new))
+        for parts, ids in zip(held, found, strict=True):
+            yield np.frombuffer(b"".join(map(self.pieces.__getitem__, parts) if None in ids else ids), dtype=self.dtype)
 
     def ids(self, text: str) -> np.ndarray:
-        chunks = text.replace("\n", " ").split(" ")
-        found = list(map(self.chunks.get, chunks))
-        if None in found:
-            self._learn(set(chunks) if len(self.chunks) + len(chunks) > self.keep else {c for c, x in zip(chunks, found, strict=True) if x is None})
-            found = map(self.chunks.__getitem__, chunks)
-        return np.frombuffer(b"".join(found), dtype=self.dtype)
+        return next(self.many([text]))
 
 
 def encoder(path: str) -> Encoder:

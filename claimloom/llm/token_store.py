@@ -169,11 +169,11 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int | None = END_ID, s
         enc, writer, out = encoder(vocab), None, None
         end = np.array([] if end_id is None else [end_id], dtype=enc.dtype)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.many(batch.column(1).to_pylist()), strict=True):
                 if writer is None:
                     out = filesystem.open_output_stream(temporary)
                     writer = Writer(out)
-                writer.add(doc_id, np.concatenate([enc.ids(text), end]))
+                writer.add(doc_id, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()
             n_bytes = out.tell()
