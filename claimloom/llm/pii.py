@@ -1,18 +1,25 @@
 """Personal data: pattern spans, then information-theoretic sanitisation.
 
 Pattern spans (e-mail, IP, card, phone) are found in the whole text.  Their
-values are the protected entities.  A term near a mention of an entity reveals
-it as far as their pointwise mutual information in the corpus reaches the
-entity's information content:
+values are the protected entities.
+A term near a mention of an entity reveals it as far as their pointwise mutual
+information in the corpus reaches the entity's information content:
 
     PMI(e; t) = log2(N * df(e, t) / (df(e) * df(t))),   IC(e) = log2(N / df(e))
 
-and is a span of kind ``term`` if PMI >= DISCLOSURE * IC.  N, df(t) and df(e)
-count distinct texts, df(e, t) distinct texts in which t stands within REACH
-words of e; a pair needs SUPPORT of them, since one text alone can't tell a
-term that reveals from one that happens to stand there.  ``sanitise`` replaces
-pattern spans by their kind and generalises revealing terms to a class
-(number, name) or, for plain words, removes them.
+and is revealing if PMI >= DISCLOSURE * IC.  N, df(t) and df(e) count distinct
+texts, df(e, t) distinct texts in which t stands within REACH words of e.
+There are two entities to a mention: its value, where a pair needs SUPPORT
+texts, and its kind (any e-mail, any card), which gives evidence for values
+that stand in one text only.  For a kind the share df(e, t) / df(t) is smoothed
+by PRIOR texts at the kind's own rate, (df(e, t) + PRIOR * df(e) / N) /
+(df(t) + PRIOR), since one text alone can't tell a term that reveals from one
+that happens to stand there.
+
+Every occurrence of a revealing term in any text, outside pattern spans, is a
+span of kind ``term``.  ``sanitise`` replaces pattern spans by their kind and
+generalises revealing terms to a class (number, name) or, for plain words,
+removes them.
 
 Null text: no spans.  Repeated rows are treated each and count once in the
 corpus.  An empty table gives no rows.  Extra columns are not read.
@@ -38,7 +45,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-REACH, SUPPORT, DISCLOSURE = 8, 3, 0.9
+REACH, SUPPORT, DISCLOSURE, PRIOR = 8, 3, 0.9, 1.0
 #: Terms shorter than this say nothing about anyone.
 MIN_TERM = 3
 
@@ -140,34 +147,64 @@ def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def revealing(docs: DataFrame, scanned: DataFrame, reach: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) pairs whose mutual information reaches the disclosure threshold."""
+    """(term) whose mutual information with a value or a kind of values reaches the disclosure threshold."""
     mentions = scanned.filter(F.size("near") > 0).select("key", F.explode("near").alias("m")).select("key", "m.entity", "m.term")
-    pairs = mentions.distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
-    spans = scanned.filter(F.size("near") > 0).select("key", F.explode("near").alias("m")).select("key", "m.entity").distinct()
-    entities = spans.groupBy("entity").agg(F.count("*").alias("df_entity"))
+    kinds = mentions.withColumn("entity", F.substring_index("entity", ":", 1))  # of a value, the entity has more after it
+    mentions = materialise(mentions.unionByName(kinds).distinct(), "pii-mentions")
+    by_value = F.col("entity").contains(":")
+    pairs = mentions.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(~by_value | (F.col("both") >= support))
+    entities = mentions.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
     pairs = materialise(pairs, "pii-pairs")
     if pairs.isEmpty():
-        return pairs.select("entity", "term")
-    n = scanned.select("key").distinct().count()
+        return pairs.select("term")
+    n = F.lit(float(scanned.select("key").distinct().count()))
     terms = term_frequencies(docs, pairs.select("term").distinct())
     joined = pairs.join(entities, "entity").join(terms, "term")
-    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("df_entity") * F.col("df")))
-    return joined.filter(pmi >= reach * F.log2(F.lit(float(n)) / F.col("df_entity"))).filter(pmi > 0).select("entity", "term")
+    prior = F.when(by_value, 0.0).otherwise(PRIOR)
+    share = (F.col("both") + prior * F.col("df_entity") / n) / (F.col("df") + prior)
+    pmi = F.log2(share * n / F.col("df_entity"))
+    return joined.filter(pmi >= reach * F.log2(n / F.col("df_entity"))).filter(pmi > 0).select("term").distinct()
+
+
+def mark(docs: DataFrame, told: frozenset[str]) -> DataFrame:
+    """(doc_id, key, spans, terms) of each document, terms at every word in ``told`` that overlaps no span."""
+    schema = "doc_id long, key binary, spans array<struct<start:int,kind:int,end:int>>, terms array<struct<start:int,end:int>>"
+    span_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+    term_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    shared = docs.sparkSession.sparkContext.broadcast(told)
+
+    def occurrences(text: str, found: list[tuple[int, int, int]], told: frozenset[str]) -> list[dict]:
+        out, at, end = [], 0, 0
+        for m in WORD.finditer(text) if told else ():
+            while at < len(found) and found[at][0] < m.end():
+                end = max(end, found[at][2])
+                at += 1
+            if m.start() >= end and m[0].lower() in told:
+                out.append({"start": m.start(), "end": m.end()})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = shared.value
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                keys, spans, terms = [], [], []
+                for text in batch.column(1).to_pylist():
+                    found = pattern_spans(text)
+                    spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
+                    terms.append(occurrences(text, found, told))
+                    keys.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
+                arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array(spans, span_type), pa.array(terms, term_type)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "spans", "terms"])
+
+    return texts(docs).mapInArrow(run, schema)
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, key, spans, terms): pattern spans and revealing terms of each document."""
-    scanned = materialise(scan(docs), "pii-scan")
-    told = revealing(docs, scanned)
-    near = scanned.filter(F.size("near") > 0).select("key", F.explode("near").alias("m")).select("key", "m.*").distinct()
-    terms = (
-        near.join(told, ["entity", "term"], "left_semi")
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    )  # as many as stand near one text's spans
-    with_spans = scanned.filter(F.size("spans") > 0).select("doc_id", "key", "spans").join(terms, "key", "left")
-    without = scanned.filter(F.size("spans") == 0).select("doc_id", "key", "spans", F.lit(None).cast("array<struct<start:int,end:int>>").alias("terms"))
-    return with_spans.select("doc_id", "key", "spans", "terms").unionByName(without)
+    scanned = materialise(scan(docs).select("key", "near"), "pii-scan")
+    told = revealing(docs, scanned).toLocalIterator()  # no more than the vocabulary near protected values
+    return mark(docs, frozenset(r.term for r in told))
 
 
 def replacement(text: str, spans: list, terms: list) -> str:
@@ -186,7 +223,7 @@ def replacement(text: str, spans: list, terms: list) -> str:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with the sanitised text in place of the text."""
-    found = find(docs).filter(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"), F.first("terms").alias("terms"))
+    found = find(docs).filter((F.size("spans") > 0) | (F.size("terms") > 0)).groupBy("key").agg(F.first("spans").alias("spans"), F.first("terms").alias("terms"))
 
     @F.pandas_udf("binary")
     def key(text):
