@@ -15,6 +15,8 @@ import numpy as np
 
 WINDOW, STRIDE = 48, 36
 H, WORD_DIM, CHAR_DIM, TRIGRAMS = 8, 12, 12, 4096
+#: Words of more bytes are read in parts, each half of which the next one has too.
+PART = 64
 STRIP = "\"'.,;:!?()[]{}<>*#$%&|-_=+~/\\"
 
 
@@ -22,6 +24,36 @@ def normal(chunk: str) -> str:
     return chunk.lower().strip(STRIP)
 
 
+def chunks(text: str) -> list[str]:
+    """What stands between white space; of more than PART bytes, overlapping parts that cover all of it."""
+    words = text.split()
+    if max(map(len, words), default=0) * 4 <= PART:
+        return words
+    out = []
+    for word in words:
+        raw = normal(word).encode("utf-8", "replace") if len(word) * 4 > PART else b""
+        if len(raw) <= PART:
+            out.append(word)
+            continue
+        at = 0
+        while True:
+            end = _boundary(raw, at + PART)
+            out.append(raw[at:end].decode())
+            if end == len(raw):
+                break
+            at = _boundary(raw, end - PART // 2)
+    return out
+
+
+def _boundary(raw: bytes, at: int) -> int:
+    """The last start of a code point up to ``at``."""
+    if at >= len(raw):
+        return len(raw)
+    while raw[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
 def windows(n: int, size: int = WINDOW, stride: int = STRIDE) -> list[int]:
     """Starts of overlapping windows that cover n words; the last one ends at the last word."""
     if n <= size:
@@ -31,7 +63,7 @@ def windows(n: int, size: int = WINDOW, stride: int = STRIDE) -> list[int]:
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character trigrams (of UTF-8 bytes, with marked ends) of all words, and each word's first."""
-    raw = [b"\x02" + w.encode("utf-8", "replace")[:64] + b"\x03\x03" for w in words]
+    raw = [b"\x02" + w.encode("utf-8", "replace") + b"\x03\x03" for w in words]
     lengths = np.array([len(r) for r in raw])
     b = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
     code = (b[:-2] * 69069 + b[1:-1] * 1327217 + b[2:] * 7919 + 12345) % 1000003 % TRIGRAMS
@@ -175,7 +207,7 @@ def layout(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(texts: list[str], y: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Model:
     """Trains on whole texts; the same input gives the same model."""
     rng = np.random.default_rng(seed)
-    split = [[normal(c) for c in t.split()] or [""] for t in texts]
+    split = [[normal(c) for c in chunks(t)] or [""] for t in texts]
     often = Counter(w for s in split for w in set(s))
     model = Model({w: k + 1 for k, w in enumerate(sorted(w for w, c in often.items() if c >= 3))})
     share = np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98)
@@ -237,7 +269,7 @@ class Scorer:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Highest window probability of each text; a text without words is one window of the empty word."""
-        split = [t.split() or [""] for t in texts]
+        split = [chunks(t) or [""] for t in texts]
         need = {c for s in split for c in s}
         if len(self.row) + 2 * len(need) > 2 * self.keep:  # bounds memory, not results
             self._reset()
