@@ -1,25 +1,35 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations alone.
 
 Two lines are near if at most ``limit(n)`` edits part them, n being the length
-of the shorter in code points: one edit from MIN_CHARS, MAX_EDITS from twice
-that.  A line goes if an earlier line (smaller doc_id, then line number) equals
-it or is near it; lines are judged as they came, not by what is left.
-
-1.  Equal lines are one row with their first place (grouped with partial
-    aggregation, so a line that fills a third of the corpus is one row a task).
-2.  A line of n code points is cut into limit(n) + 1 segments; one of them
-    stands unchanged in any line near it.  A line offers its segments under
-    (length, number, text) and probes, for each shorter length that can be near
-    it, the substrings at the places a segment can have moved to.
-3.  Only rows whose key several lines share go on.  Pairs that share a key are
-    held against letter counts, which differ by at most two an edit, inside the
-    join, so that lines of one template do not make pairs.
-4.  The rest is verified by banded bit-parallel edit distance.
-
-Lines shorter than MIN_CHARS or without a word are left alone.  Null text: no
-lines.  Identical rows are one document and keep the same lines; rows that
-share a doc_id with other texts are documents of their own, in the order of a
-hash.  A null doc_id comes last.  An empty table gives no rows.
+of the shorter in code points (see LEVELS).  Lines that are equal, near, or
+joined by a chain of near lines are a class; its first line (smallest doc_id,
+then line number) stays, the others go.
+
+1.  A line of n code points, limit k, is cut into k + 1 segments of one size,
+    the first half of them placed from its beginning, the others from its end.
+    Of two lines at most k edits apart, some segment i stands unchanged with
+    exactly i edits before it and at most k - i after it, so it has moved by at
+    most min(i, k - i) from its place.  Each line gives the substrings that
+    begin 0 to min(i, k - i) code points behind that place: whatever the move,
+    one of the one line's is one of the other's.  Sizes follow from a range of
+    lengths, and a line near a range's end gives the next one's substrings too.
+2.  Keys (hashes of level, range, segment, substring) are counted with partial
+    aggregation to (key, least line, greatest line); a line that fills a third
+    of the corpus is a row a task.  Only rows of keys that several lines give
+    are made again with their texts.
+3.  Every line of a key is held against the least and the greatest one: a row a
+    line, not a row a pair.  What that links is one class.  Then lines of a key
+    that are not yet of one class are held against each other, all of them, so
+    no near pair is left out that could join two classes.
+4.  Pairs are held against letter counts, which differ by at most two an edit,
+    then verified by banded bit-parallel edit distance.
+
+Near lines have at least 12 code points; equal lines of any length go.  Lines
+without a word are left alone.  Null text: no lines.  Identical rows are one
+document and keep the same lines; rows that share a doc_id with other texts are
+documents of their own, in the order of a hash.  A null doc_id comes last.  An
+empty table gives no rows.  Very long lines are lines like others.  Extra
+columns are kept by ``dedup`` and not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,78 +38,83 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import materialise, partitions, table
+from claimloom.llm.components import components
 
-MIN_CHARS, MAX_EDITS = 12, 2
-#: Rows of two numbers that are broadcast at most; beyond, the same join shuffles.
+#: (length from which it holds, edits, lengths of a range)
+LEVELS = ((12, 1, 8), (24, 2, 16), (96, 3, 32), (192, 4, 32))
+MIN_CHARS, MAX_EDITS = LEVELS[0][0], LEVELS[-1][1]
+#: Rows that are broadcast at most; beyond, the same join shuffles, with the same result.
 BROADCAST_ROWS = 1_000_000
 NULL_ID = (1 << 63) - 1
 #: Columns of the band that are looked at first; empty characters around a line.
-LOOK, PAD = 20, 4
+LOOK, PAD = 24, 2 * MAX_EDITS
 _REF = 1 << 62
 #: Groups of letters that are counted (a partition of the commonest).
 GROUPS = ("eE", "tTdD", "aAoO", "iIuU", "nNmM", "sSrR", "hHlL", " ")
-
-_LIMIT = f"least({MAX_EDITS}, {{n}} div {MIN_CHARS})"
+_CLASH = "_claimloom_"
 
 
 def limit(n: str) -> str:
-    return f"cast({_LIMIT.format(n=n)} as int)"
+    """SQL for the most edits of a pair whose shorter line has ``n`` code points."""
+    return "CASE " + " ".join(f"WHEN {n} >= {low} THEN {k}" for low, k, _ in reversed(LEVELS)) + " ELSE 0 END"
+
+
+def bounded(df: DataFrame, weight: str = "1") -> DataFrame:
+    """``df`` marked for broadcast if its checked number of rows (each counted ``weight`` times) allows."""
+    held = df.agg(F.coalesce(F.sum(F.expr(weight)), F.lit(0)), F.count("*")).first()
+    return F.broadcast(df) if max(held) <= BROADCAST_ROWS else df
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, ref, line): every line that takes part; ref holds its number and a hash of its text."""
+    """(doc_id, ref, line): every line with a word; ref holds its number and a hash of its text."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text"))
     tag = F.expr("pmod(xxhash64(text), 4294967296)")
     split = rows.select("doc_id", tag.alias("tag"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    held = split.filter((F.length("line") >= MIN_CHARS) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return held.select("doc_id", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("tag")).alias("ref"), "line")
+    word = F.expr(r"ascii(ltrim(line)) > 32") | F.col("line").rlike(r"[^\x20\x09-\x0D]")  # the first spares most lines the pattern
+    return split.filter(word).select("doc_id", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("tag")).alias("ref"), "line")
 
 
-def first_places(every: DataFrame, *keys: str) -> DataFrame:
-    """(keys, doc_id, ref): the first place of each distinct line.
-
-    The place is one decimal, so that the hash aggregation can hold it.
-    """
+def hashed(docs: DataFrame) -> DataFrame:
+    """(h1, h2, p): 128 bits that stand for a line's text, and its place as one decimal, which hash aggregation can hold."""
     place = F.expr(f"cast((cast(doc_id as decimal(20,0)) + 9223372036854775808BD) * {_REF}BD + cast(ref as decimal(20,0)) as decimal(38,0))")
-    first = every.groupBy(*keys).agg(F.min(place).alias("p")).withColumn("ref", F.expr(f"pmod(p, {_REF}BD)"))
-    doc_id = F.expr(f"cast(cast((p - ref) / {_REF}BD as decimal(20,0)) - 9223372036854775808BD as bigint)")
-    return first.select(*keys, doc_id.alias("doc_id"), F.col("ref").cast("long").alias("ref"))
+    return lines(docs).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), place.alias("p"))
 
 
-def _segment(i: str, n: str) -> tuple[str, str]:
-    """Start (from 0) and length of segment i of a line of n code points."""
-    parts = f"({limit(n)} + 1)"
-    start = f"cast(({i} * {n}) div {parts} as int)"
-    return start, f"(cast((({i} + 1) * {n}) div {parts} as int) - {start})"
+def doc_of(p: str) -> str:
+    return f"cast(cast((({p}) - pmod({p}, {_REF}BD)) / {_REF}BD as decimal(20,0)) - 9223372036854775808BD as bigint)"
 
 
-def keyed(first: DataFrame) -> DataFrame:
-    """(key, offers, doc_id, ref): the segments a line offers and the substrings it probes."""
-    start, size = _segment("i", "n")
-    offers = f"transform(sequence(0, {limit('n')}), i -> xxhash64(n, i, substring(line, {start} + 1, {size})))"
-    start, size = _segment("i", "l")
-    low = f"greatest({start} - i, {start} + (n - l) - ({limit('l')} - i))"
-    high = f"least({start} + i, {start} + (n - l) + ({limit('l')} - i))"
-    probes = f"""array_distinct(flatten(transform(sequence(greatest({MIN_CHARS}, n - {MAX_EDITS}), n), l ->
-        if(n - l > {limit('l')}, cast(array() as array<bigint>), flatten(transform(sequence(0, {limit('l')}), i ->
-            transform(sequence({low}, {high}), q -> xxhash64(l, i, substring(line, q + 1, {size})))))))))"""
-    rows = first.withColumn("n", F.length("line"))
-    both = f"concat(transform({offers}, k -> named_struct('key', k, 'offers', true)), transform({probes}, k -> named_struct('key', k, 'offers', false)))"
-    return rows.select("doc_id", "ref", F.explode(F.expr(both)).alias("k")).select("k.key", "k.offers", "doc_id", "ref")
+def ref_of(p: str) -> str:
+    return f"cast(pmod({p}, {_REF}BD) as bigint)"
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """The rows whose key several lines have."""
-    over = "OVER (PARTITION BY key)"
-    several = F.expr(f"min(doc_id) {over} < max(doc_id) {over} OR min(ref) {over} < max(ref) {over}")
-    return rows.withColumn("several", several).filter("several").drop("several")
+def _substrings(k: int) -> list[tuple[int, int]]:
+    """(segment, places behind its own) of a line's substrings at limit ``k``."""
+    return [(i, x) for i in range(k + 1) for x in range(min(i, k - i) + 1)]
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, ref, line) of the lines ``ids`` (doc_id, ref); the ids are broadcast if their checked number allows."""
-    ids = ids.distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return lines(docs).join(ids, ["doc_id", "ref"], "left_semi").distinct()
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, h, line): the substrings' keys of each line, and a hash of the line."""
+    rows = lines(docs).select("line", F.length("line").alias("n")).filter(F.col("n") >= MIN_CHARS)
+    ranges = []  # (k, range, code points that all its lines have), of its own range and of the one that a longer line near it can have
+    for (low, k, width), high in zip(LEVELS, [x[0] - 1 for x in LEVELS[1:]] + [(1 << 31) - 100], strict=True):
+        for at, held in ((f"n div {width}", "true"), (f"(n + {k}) div {width}", f"(n + {k}) div {width} > n div {width}")):
+            ranges.append(f"if(n BETWEEN {low} AND {high + k} AND {held}, named_struct('k', {k}, 'b', cast({at} as int), 's', cast(greatest({low}, {width} * ({at}) - {k}) as int) div {k + 1}), null)")
+    rows = rows.select("line", "n", F.explode(F.expr(f"array({', '.join(ranges)})")).alias("r")).filter("r IS NOT NULL")
+    rows = rows.select("line", "n", "r.k", "r.b", F.col("r.s").cast("int").alias("s"))
+    by_level = {k: _substrings(k) for _, k, _ in LEVELS}
+    keys = []
+    for at in range(max(map(len, by_level.values()))):
+        cases = []
+        for k, found in by_level.items():
+            if at < len(found):
+                i, x = found[at]
+                size = f"s - {min(i, k - i)}"
+                start = f"{i} * s + {x}" if i <= k - i else f"n - {k - i} * s - {x} - ({size})"
+                cases.append(f"WHEN {k} THEN xxhash64({k}, b, {i}, substring(line, {start} + 1, {size}))")
+        keys.append(f"CASE k {' '.join(cases)} END")
+    rows = rows.select("line", F.explode(F.expr(f"array({', '.join(keys)})")).alias("key")).filter("key IS NOT NULL")
+    return rows.select("key", F.xxhash64("line").alias("h"), "line")
 
 
 def _band(a: str, b: str, columns: str, k: str, most: int = MAX_EDITS) -> str:
@@ -159,119 +174,137 @@ def trimmed(pairs: DataFrame) -> DataFrame:
     return rows.drop("_p", "_a", "_b", "_ra", "_rb", "_s")
 
 
-def near(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(doc_id, ref, other_doc, other_ref): links from each distinct line to an earlier one near it."""
-    live = materialise(shared(keyed(first)), "line-keys")
-    held = materialise(texts_of(docs, live.select("doc_id", "ref")), "line-texts")
-    counts = [(F.length("line") - F.length(F.translate("line", g, ""))).alias(f"c{k}") for k, g in enumerate(GROUPS)]
-    signed = live.join(held.select("doc_id", "ref", F.length("line").alias("n"), *counts), ["doc_id", "ref"])
-    names = ["doc_id", "ref", "n", *(f"c{k}" for k in range(len(GROUPS)))]
-    short = signed.filter("offers").select("key", *[F.col(c).alias(f"a_{c}") for c in names])
-    long = signed.filter("NOT offers").select("key", *[F.col(c).alias(f"b_{c}") for c in names])
-    apart = " + ".join(f"abs(a_c{k} - b_c{k})" for k in range(len(GROUPS)))
-    ok = F.expr(
-        f"b_n - a_n BETWEEN 0 AND {limit('a_n')} AND (a_doc_id <> b_doc_id OR a_ref <> b_ref) AND (a_n < b_n OR a_doc_id < b_doc_id OR (a_doc_id = b_doc_id AND a_ref < b_ref)) AND {apart} <= 2 * {limit('a_n')}"
-    )
-    pairs = short.join(long, (short["key"] == long["key"]) & ok).select("a_doc_id", "a_ref", "b_doc_id", "b_ref").distinct()
-    a = held.select(F.col("doc_id").alias("a_doc_id"), F.col("ref").alias("a_ref"), F.col("line").alias("a_line"))
-    b = held.select(F.col("doc_id").alias("b_doc_id"), F.col("ref").alias("b_ref"), F.col("line").alias("b_line"))
-    full = pairs.join(a, ["a_doc_id", "a_ref"]).join(b, ["b_doc_id", "b_ref"])
-    most = limit("length(a_line)")
+def verified(pairs: DataFrame) -> DataFrame:
+    """(u, v): the ``pairs`` (u, v, a_line, b_line) of lines that are near."""
+    swap = F.expr("length(a_line) > length(b_line)")
+    ordered = pairs.select("u", "v", F.when(swap, F.col("b_line")).otherwise(F.col("a_line")).alias("a_line"), F.when(swap, F.col("a_line")).otherwise(F.col("b_line")).alias("b_line"))
     # few bytes, but much to compute; written, since a filter would else be moved down and compute the arrays at each use
-    spread = materialise(trimmed(full.repartition(partitions(docs.sparkSession))), "line-pairs")
-    linked = spread.filter(F.expr(f"{edit_distance('a', 'b', most)} <= {most}"))
-    a_first = F.expr("a_doc_id < b_doc_id OR (a_doc_id = b_doc_id AND a_ref < b_ref)")
-    a, b = (F.struct(F.col(f"{x}_doc_id").alias("d"), F.col(f"{x}_ref").alias("r")) for x in "ab")
-    ends = linked.select(F.when(a_first, b).otherwise(a).alias("x"), F.when(a_first, a).otherwise(b).alias("y"))
-    return ends.select(F.col("x.d").alias("doc_id"), F.col("x.r").alias("ref"), F.col("y.d").alias("other_doc"), F.col("y.r").alias("other_ref"))
+    spread = materialise(trimmed(ordered.repartition(partitions(pairs.sparkSession))), "line-pairs")
+    most = limit("length(a_line)")
+    return spread.filter(F.expr(f"{edit_distance('a', 'b', f'({most})')} <= {most}")).select("u", "v")
 
 
-def marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every line that goes, as (doc_id, ref, near, links); and the links.
+def _like(a: str, b: str) -> str:
+    """SQL: lengths and letter counts allow the limit."""
+    most = limit(f"least({a}n, {b}n)")
+    apart = " + ".join(f"abs({a}c{k} - {b}c{k})" for k in range(len(GROUPS)))
+    return f"abs({a}n - {b}n) <= {most} AND {apart} <= 2 * ({most})"
 
-    The lines' hashes take the place of their texts once equal lines are found.
-    """
-    every = lines(docs)
-    links = materialise(near(docs, first_places(every, "line")), "line-links")
-    ends = links.select("doc_id", "ref", F.lit(1).alias("goes")).unionByName(links.select(F.col("other_doc").alias("doc_id"), F.col("other_ref").alias("ref"), F.lit(0).alias("goes")))
-    ends = ends.groupBy("doc_id", "ref").agg(F.max("goes").alias("goes"), F.count("*").alias("links"))
-    # 128 bits stand for a line's text from here on
-    hashed = every.select("doc_id", "ref", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
-    first = first_places(hashed, "h1", "h2")
-    named = first.join(ends, ["doc_id", "ref"], "left").select(F.col("doc_id").alias("first_doc"), F.col("ref").alias("first_ref"), "h1", "h2", "goes", "links")
-    return materialise(named, "line-verdicts"), hashed
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(h1, h2, class): each distinct line that is near another one, and the number of its class."""
+    several = materialise(keyed(docs).groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high"), "line-keys")
+    hits = materialise(keyed(docs).join(bounded(several), "key").distinct(), "line-hits")
+    counts = [(F.length("line") - F.length(F.translate("line", g, ""))).alias(f"c{k}") for k, g in enumerate(GROUPS)]
+    held = hits.select("h", "line").distinct().select(F.monotonically_increasing_id().alias("node"), "h", "line", F.length("line").alias("n"), *counts)
+    held = materialise(held, "line-texts")
+    signs = ["node", "h", "n", *(f"c{k}" for k in range(len(GROUPS)))]
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return held.select(*[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    ends = hits.select(F.col("low").alias("a_h"), F.col("h").alias("b_h")).unionByName(hits.select(F.col("high").alias("a_h"), F.col("h").alias("b_h")))
+    ends = ends.filter("a_h <> b_h").distinct()
+    star = ends.join(side("a", *signs, "line"), "a_h").join(side("b", *signs, "line"), "b_h").filter(_like("a_", "b_"))
+    links = materialise(verified(star.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"), "a_line", "b_line")), "line-links")
+
+    named = materialise(components(links), "line-stars")
+    member = hits.select("key", "low", "high", "h").join(held.select(*signs), "h").join(named, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    mixed = member.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("key")
+    rest = materialise(member.filter("h <> low AND h <> high").join(mixed.hint("shuffle_merge"), "key", "left_semi").select("key", "c", *signs), "line-members")
+    a = rest.select("key", *[F.col(c).alias(f"a_{c}") for c in ["c", *signs]])
+    b = rest.select("key", *[F.col(c).alias(f"b_{c}") for c in ["c", *signs]])
+    apart = a.join(b.hint("shuffle_merge"), (a["key"] == b["key"]) & F.expr(f"a_c < b_c AND {_like('a_', 'b_')}")).select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct()
+    with_lines = apart.join(held.select(F.col("node").alias("u"), F.col("line").alias("a_line")), "u").join(held.select(F.col("node").alias("v"), F.col("line").alias("b_line")), "v")
+    more = verified(with_lines)
+    last = components(named.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    return held.join(last, "node").select(F.col("h").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), F.col("component").alias("class"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, lines): for each text of a doc_id its lines that take part, as (k, equal, near, links)."""
-    named, every = marked(docs)
-    # one row a distinct line against one a line: a hot line is split by the join, not gathered
-    joined = every.join(named.hint("shuffle_merge"), ["h1", "h2"])
-    equal = F.expr("doc_id <> first_doc OR ref <> first_ref")
-    per = joined.select("doc_id", F.expr("ref & 4294967295").alias("tag"), F.struct(F.shiftright("ref", 32).cast("int").alias("k"), equal.alias("equal"), (F.coalesce("goes", F.lit(0)) == 1).alias("near"), F.coalesce("links", F.lit(0)).alias("links")).alias("x"))
-    return per.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("x")).alias("lines"))
+    """(doc_id, tag, gone): for each text of a doc_id the lines that go, as (k, equal, doc, line), the last two being the place of their class's first line."""
+    every = hashed(docs)
+    near = materialise(classes(docs), "line-classes")
+    first = every.groupBy("h1", "h2").agg(F.min("p").alias("first"), F.count("*").alias("times")).join(bounded(near), ["h1", "h2"], "left")
+    first = materialise(first.filter("times > 1 OR class IS NOT NULL"), "line-firsts")
+    stays = first.filter("class IS NOT NULL").groupBy("class").agg(F.min("first").alias("stays"))
+    named = first.join(bounded(stays), "class", "left").select("h1", "h2", "first", F.coalesce("stays", "first").alias("stays"))
+    # a row a distinct line that is repeated or near another: broadcast if few, else the join can split a hot line
+    gone = every.join(bounded(materialise(named, "line-verdicts")), ["h1", "h2"]).filter("p <> stays")
+    entry = F.struct(F.shiftright(F.expr(ref_of("p")), 32).cast("int").alias("k"), (F.col("p") != F.col("first")).alias("equal"), F.expr(doc_of("stays")).alias("doc"), F.shiftright(F.expr(ref_of("stays")), 32).cast("int").alias("line"))
+    per = gone.select(F.expr(doc_of("p")).alias("doc_id"), F.expr(f"{ref_of('p')} & 4294967295").alias("tag"), entry.alias("x"))
+    return materialise(per.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("x")).alias("gone")), "line-gone")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines that go cut out of the text."""
-    at = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
-    gone = verdicts(docs).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.transform(F.filter("lines", lambda x: x.equal | x.near), lambda x: x.k).alias("_gone")).filter(F.size("_gone") > 0)
-    rows = docs.select(*[F.col(c).alias(v) for c, v in at.items()])
-    rows = rows.withColumn("_doc", F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NULL_ID))).withColumn("_tag", F.expr(f"pmod(xxhash64({at['text']}), 4294967296)"))
-    kept = F.expr(f"array_join(transform(filter(transform(split({at['text']}, '\\n'), (x, i) -> named_struct('x', x, 'i', i)), y -> NOT array_contains(_gone, y.i)), y -> y.x), '\\n')")
-    joined = rows.join(gone, ["_doc", "_tag"], "left")
-    return joined.select(*[(F.when(F.col("_gone").isNull(), F.col(v)).otherwise(kept) if c == "text" else F.col(v)).alias(c) for c, v in at.items()])
+    own = {c: f"{_CLASH}{k}" for k, c in enumerate(docs.columns)}
+    text, doc_id = own["text"], own["doc_id"]
+    gone = verdicts(docs).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.transform("gone", lambda x: x.k).alias("_gone"))
+    rows = docs.select(*[F.col(c).alias(v) for c, v in own.items()])
+    rows = rows.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).withColumn("_tag", F.expr(f"pmod(xxhash64({text}), 4294967296)"))
+    kept = F.expr(f"array_join(transform(filter(transform(split({text}, '\\n'), (x, i) -> named_struct('x', x, 'i', i)), y -> NOT array_contains(_gone, y.i)), y -> y.x), '\\n')")
+    joined = rows.join(bounded(gone, "size(_gone)"), ["_doc", "_tag"], "left")
+    return joined.select(*[(F.when(F.col("_gone").isNull(), F.col(v)).otherwise(kept) if c == "text" else F.col(v)).alias(c) for c, v in own.items()])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, those that go for an equal or a near line, its first lines' links, the numbers of lines that go."""
+    """Per document: its lines, those that go for an equal or a near line, their numbers, and the class of each (place of the line that stays)."""
     docs = table(spark, sf_dir, "documents")
     found = verdicts(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.expr("pmod(xxhash64(text), 4294967296)").alias("tag"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n"))
-    none = F.expr("cast(array() as array<struct<k:int,equal:boolean,near:boolean,links:bigint>>)")
-    joined = rows.join(found, ["doc_id", "tag"], "left").withColumn("lines", F.coalesce("lines", none))
+    none = F.expr("cast(array() as array<struct<k:int,equal:boolean,doc:bigint,line:int>>)")
+    joined = rows.join(bounded(found, "size(gone)"), ["doc_id", "tag"], "left").withColumn("gone", F.coalesce("gone", none))
     return joined.select(
         F.col("id").alias("doc_id"),
         F.when(F.col("n") < 0, 0).otherwise(F.col("n")).cast("long").alias("n_lines"),
-        F.expr("cast(size(filter(lines, x -> x.equal)) as bigint)").alias("n_equal"),
-        F.expr("cast(size(filter(lines, x -> x.near AND NOT x.equal)) as bigint)").alias("n_near"),
-        F.expr("aggregate(lines, 0L, (s, x) -> s + if(x.equal, 0L, x.links))").alias("n_links"),
-        F.expr("array_join(transform(filter(lines, x -> x.equal OR x.near), x -> cast(x.k as string)), ',')").alias("removed_lines"),
+        F.expr("cast(size(filter(gone, x -> x.equal)) as bigint)").alias("n_equal"),
+        F.expr("cast(size(filter(gone, x -> NOT x.equal)) as bigint)").alias("n_near"),
+        F.expr("array_join(transform(gone, x -> cast(x.k as string)), ',')").alias("removed_lines"),
+        F.expr(f"array_join(transform(gone, x -> concat(if(x.doc = {NULL_ID}, 'null', cast(x.doc as string)), ':', cast(x.line as string))), ',')").alias("classes"),
     )
 
 
 #: The same by brute force over lines of like length; the letter counts only spare it some distances.
+#: Its levenshtein counts bytes, so a pair's letters (up to 127 different ones) are first named by one byte each.
 OP1_SQL = r"""
-WITH split AS (
+WITH RECURSIVE split AS (
   SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents
 ), lines AS (
   SELECT doc_id, k - 1 AS k, parts[k] AS x
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM split)
-  WHERE length(parts[k]) >= 12 AND regexp_matches(parts[k], '[^\x20\x09-\x0D]')
+  WHERE regexp_matches(parts[k], '[^\x20\x09-\x0D]')
 ), firsts AS (
   SELECT x, min(struct_pack(doc_id := doc_id, k := k)) AS p, length(x) AS n,
+    CASE WHEN length(x) >= 192 THEN 4 WHEN length(x) >= 96 THEN 3 WHEN length(x) >= 24 THEN 2 WHEN length(x) >= 12 THEN 1 ELSE 0 END AS most,
     length(replace(x, 'e', '')) AS c1, length(replace(x, 't', '')) AS c2, length(replace(x, 'a', '')) AS c3,
-    length(replace(x, 'n', '')) AS c4, length(replace(x, 'o', '')) AS c5, length(replace(x, 'i', '')) AS c6
+    length(replace(x, 'n', '')) AS c4, length(replace(x, 'o', '')) AS c5, length(replace(x, 'i', '')) AS c6,
+    length(replace(x, 'r', '')) AS c7, length(replace(x, 'h', '')) AS c8, length(replace(x, 's', '')) AS c9
   FROM lines GROUP BY x
 ), links AS (
-  SELECT greatest(a.p, b.p) AS later, least(a.p, b.p) AS earlier
-  FROM firsts a JOIN firsts b ON b.n - a.n BETWEEN 0 AND least(2, a.n // 12) AND (a.n < b.n OR a.p < b.p)
-    AND abs((b.n - b.c1) - (a.n - a.c1)) <= 2 AND abs((b.n - b.c2) - (a.n - a.c2)) <= 2
-    AND abs((b.n - b.c3) - (a.n - a.c3)) <= 2 AND abs((b.n - b.c4) - (a.n - a.c4)) <= 2
-    AND abs((b.n - b.c5) - (a.n - a.c5)) <= 2 AND abs((b.n - b.c6) - (a.n - a.c6)) <= 2
-  WHERE levenshtein(a.x, b.x) <= least(2, a.n // 12)
+  SELECT a.p AS u, b.p AS v
+  FROM firsts a JOIN firsts b ON a.most > 0 AND b.n - a.n BETWEEN 0 AND a.most AND (a.n < b.n OR a.p < b.p)
+    AND abs((b.n - b.c1) - (a.n - a.c1)) + abs((b.n - b.c2) - (a.n - a.c2)) + abs((b.n - b.c3) - (a.n - a.c3))
+      + abs((b.n - b.c4) - (a.n - a.c4)) + abs((b.n - b.c5) - (a.n - a.c5)) + abs((b.n - b.c6) - (a.n - a.c6))
+      + abs((b.n - b.c7) - (a.n - a.c7)) + abs((b.n - b.c8) - (a.n - a.c8)) + abs((b.n - b.c9) - (a.n - a.c9)) <= 2 * a.most
+  WHERE CASE WHEN strlen(a.x || b.x) = length(a.x || b.x) THEN levenshtein(a.x, b.x)
+    ELSE levenshtein(translate(a.x, array_to_string(list_distinct(string_split(a.x || b.x, '')), ''), array_to_string([chr(CAST(c AS INTEGER)) FOR c IN range(1, 128)], '')), translate(b.x, array_to_string(list_distinct(string_split(a.x || b.x, '')), ''), array_to_string([chr(CAST(c AS INTEGER)) FOR c IN range(1, 128)], ''))) END <= a.most
 ), ends AS (
-  SELECT p, max(goes) AS goes, count(*) AS links
-  FROM (SELECT later AS p, 1 AS goes FROM links UNION ALL SELECT earlier, 0 FROM links) GROUP BY p
+  SELECT u, v FROM links UNION SELECT v, u FROM links
+), reach AS (
+  SELECT u, u AS v FROM ends UNION SELECT r.u, e.v FROM reach r JOIN ends e ON r.v = e.u
+), stays AS (
+  SELECT u, min(v) AS p FROM reach GROUP BY u
 ), judged AS (
-  SELECT l.doc_id, l.k, struct_pack(doc_id := l.doc_id, k := l.k) <> f.p AS equal, coalesce(e.goes, 0) = 1 AS near, coalesce(e.links, 0) AS links
-  FROM lines l JOIN firsts f ON f.x = l.x LEFT JOIN ends e ON e.p = f.p
+  SELECT l.doc_id, l.k, struct_pack(doc_id := l.doc_id, k := l.k) AS own, f.p AS first, coalesce(s.p, f.p) AS class
+  FROM lines l JOIN firsts f ON f.x = l.x LEFT JOIN stays s ON s.u = f.p
 ), per AS (
-  SELECT doc_id, count(*) FILTER (equal) AS n_equal, count(*) FILTER (near AND NOT equal) AS n_near,
-    sum(CASE WHEN equal THEN 0 ELSE links END) AS n_links, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FILTER (equal OR near) AS removed_lines
-  FROM judged GROUP BY doc_id
+  SELECT doc_id, count(*) FILTER (own <> first) AS n_equal, count(*) FILTER (own = first) AS n_near,
+    string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS removed_lines,
+    string_agg(CAST(class.doc_id AS VARCHAR) || ':' || CAST(class.k AS VARCHAR), ',' ORDER BY k) AS classes
+  FROM judged WHERE own <> class GROUP BY doc_id
 )
 SELECT s.doc_id, CAST(coalesce(len(s.parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal,
-  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(removed_lines, '') AS removed_lines
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(removed_lines, '') AS removed_lines, coalesce(classes, '') AS classes
 FROM split s LEFT JOIN per p ON p.doc_id = s.doc_id
 """
