@@ -21,8 +21,8 @@ then line number) stays, the others go.
     line, not a row a pair.  What that links is one class.  Then lines of a key
     that are not yet of one class are held against each other, all of them, so
     no near pair is left out that could join two classes.
-4.  Pairs are held against letter counts, which differ by at most two an edit,
-    then verified by banded bit-parallel edit distance.
+4.  Pairs are held against counts of letters, which differ by at most two an edit,
+    and the built-in distance, then verified by banded bit-parallel distance.
 
 Near lines have at least 12 code points; equal lines of any length go.  Lines
 without a word are left alone.  Null text: no lines.  Identical rows are one
@@ -49,8 +49,9 @@ NULL_ID = (1 << 63) - 1
 #: Columns of the band that are looked at first; empty characters around a line.
 LOOK, PAD = 24, 2 * MAX_EDITS
 _REF = 1 << 62
-#: Groups of letters that are counted (a partition of the commonest).
-GROUPS = ("eE", "tTdD", "aAoO", "iIuU", "nNmM", "sSrR", "hHlL", " ")
+#: Signs that are counted in a line's first and second half.
+SIGNS = "etaoinsrhldcumfpgwybvk ."
+_COUNTS = [f"{half}{k}" for half in "pq" for k in range(len(SIGNS))]
 _CLASH = "_claimloom_"
 
 
@@ -185,38 +186,48 @@ def verified(pairs: DataFrame) -> DataFrame:
 
 
 def _like(a: str, b: str) -> str:
-    """SQL: lengths and letter counts allow the limit."""
+    """SQL: lengths and letter counts allow the limit; counts are of the first and last code points that lines of a range all have."""
     most = limit(f"least({a}n, {b}n)")
-    apart = " + ".join(f"abs({a}c{k} - {b}c{k})" for k in range(len(GROUPS)))
-    return f"abs({a}n - {b}n) <= {most} AND {apart} <= 2 * ({most})"
+    apart = " + ".join(f"abs({a}{c} - {b}{c})" for c in _COUNTS)
+    return f"abs({a}n - {b}n) <= {most} AND ({a}base <> {b}base OR {apart} <= 2 * ({most}))"
+
+
+def _seems_near(a: str, b: str) -> str:
+    """SQL: the built-in distance doesn't exceed the limit; it spares far pairs the arrays of ``verified``."""
+    return f"levenshtein({a}line, {b}line, {limit(f'least({a}n, {b}n)')}) >= 0"
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(h1, h2, class): each distinct line that is near another one, and the number of its class."""
     several = materialise(keyed(docs).groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high"), "line-keys")
     hits = materialise(keyed(docs).join(bounded(several), "key").distinct(), "line-hits")
-    counts = [(F.length("line") - F.length(F.translate("line", g, ""))).alias(f"c{k}") for k, g in enumerate(GROUPS)]
-    held = hits.select("h", "line").distinct().select(F.monotonically_increasing_id().alias("node"), "h", "line", F.length("line").alias("n"), *counts)
-    held = materialise(held, "line-texts")
-    signs = ["node", "h", "n", *(f"c{k}" for k in range(len(GROUPS)))]
+    base = "CASE " + " ".join(f"WHEN n >= {low} THEN greatest({low}, {width} * (n div {width}) - {k})" for low, k, width in reversed(LEVELS)) + " END"
+    held = hits.select("h", "line").distinct().withColumn("n", F.length("line")).withColumn("base", F.expr(f"cast({base} as int)"))
+    held = held.withColumn("p", F.expr("left(line, base div 2)")).withColumn("q", F.expr("right(line, base - base div 2)"))
+    counts = [F.expr(f"length({half}) - length(replace({half}, '{x}', ''))").alias(f"{half}{k}") for half in "pq" for k, x in enumerate(SIGNS)]
+    held = materialise(held.select(F.monotonically_increasing_id().alias("node"), "h", "line", "n", "base", *counts), "line-texts")
+    signs = ["node", "h", "n", "base", *_COUNTS]
 
     def side(name: str, *columns: str) -> DataFrame:
         return held.select(*[F.col(c).alias(f"{name}_{c}") for c in columns])
 
     ends = hits.select(F.col("low").alias("a_h"), F.col("h").alias("b_h")).unionByName(hits.select(F.col("high").alias("a_h"), F.col("h").alias("b_h")))
     ends = ends.filter("a_h <> b_h").distinct()
-    star = ends.join(side("a", *signs, "line"), "a_h").join(side("b", *signs, "line"), "b_h").filter(_like("a_", "b_"))
+    star = ends.join(side("a", *signs, "line"), "a_h").join(side("b", *signs, "line"), "b_h").filter(f"{_like('a_', 'b_')} AND {_seems_near('a_', 'b_')}")
     links = materialise(verified(star.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"), "a_line", "b_line")), "line-links")
 
     named = materialise(components(links), "line-stars")
-    member = hits.select("key", "low", "high", "h").join(held.select(*signs), "h").join(named, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    member = hits.select("key", "low", "high", "h").join(held.select(*signs, "line"), "h").join(named, "node", "left").withColumn("c", F.coalesce("component", "node"))
     mixed = member.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("key")
-    rest = materialise(member.filter("h <> low AND h <> high").join(mixed.hint("shuffle_merge"), "key", "left_semi").select("key", "c", *signs), "line-members")
-    a = rest.select("key", *[F.col(c).alias(f"a_{c}") for c in ["c", *signs]])
-    b = rest.select("key", *[F.col(c).alias(f"b_{c}") for c in ["c", *signs]])
-    apart = a.join(b.hint("shuffle_merge"), (a["key"] == b["key"]) & F.expr(f"a_c < b_c AND {_like('a_', 'b_')}")).select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct()
-    with_lines = apart.join(held.select(F.col("node").alias("u"), F.col("line").alias("a_line")), "u").join(held.select(F.col("node").alias("v"), F.col("line").alias("b_line")), "v")
-    more = verified(with_lines)
+    rest = materialise(member.filter("h <> low AND h <> high").join(mixed.hint("shuffle_merge"), "key", "left_semi").select("key", "c", *signs, "line"), "line-members")
+    own = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))  # bounded by the line's level
+    rest = rest.join(own.hint("shuffle_merge"), "node")
+    a = rest.select("key", *[F.col(c).alias(f"a_{c}") for c in ["c", "keys", *signs, "line"]])
+    b = rest.select(F.col("key").alias("b_key"), *[F.col(c).alias(f"b_{c}") for c in ["c", "keys", *signs, "line"]])
+    # a pair meets under the least of its common keys alone
+    meet = F.expr(f"key = b_key AND a_c < b_c AND {_like('a_', 'b_')} AND key = array_min(array_intersect(a_keys, b_keys)) AND {_seems_near('a_', 'b_')}")
+    apart = a.join(b.hint("shuffle_merge"), meet)
+    more = verified(apart.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"), "a_line", "b_line"))
     last = components(named.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     return held.join(last, "node").select(F.col("h").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), F.col("component").alias("class"))
 

@@ -49,38 +49,82 @@ def levenshtein(a: str, b: str) -> int:
     return row[-1]
 
 
+def most_edits(n):
+    return next((k for low, k in ((192, 4), (96, 3), (24, 2), (12, 1)) if n >= low), 0)
+
+
 def test_op1(spark, edge_dir, rows):
-    docs = {(d if d is not None else 1 << 63, t) for d, t, *_ in rows if t is not None}
-    held = [(d, zlib.crc32(b""), k, x, t) for d, t in docs for k, x in enumerate(t.split("\n")) if len(x) >= 12 and WORD.search(x)]
+    none = 1 << 63
+    docs = {(d if d is not None else none, t) for d, t, *_ in rows if t is not None}
+    held = [(d, k, x, t) for d, t in docs for k, x in enumerate(t.split("\n")) if WORD.search(x)]
     tags = {t: spark.createDataFrame([(t,)], "text string").select(F.expr("pmod(xxhash64(text), 4294967296)")).first()[0] for d, t in docs if sum(e == d for e, _ in docs) > 1}
-    place = lambda h: (h[0], h[2], tags.get(h[4], 0))
+    place = lambda h: (h[0], h[1], tags.get(h[3], 0))
     first: dict[str, tuple] = {}
     for h in sorted(held, key=place):
-        first.setdefault(h[3], place(h))
-    linked, links = set(), Counter()
+        first.setdefault(h[2], place(h))
+    stays = dict(first)
     texts = sorted(first, key=len)
+    linked = 0
     for i, a in enumerate(texts):
         for b in texts[i + 1 :]:
-            most = min(2, len(a) // 12)
-            if len(b) - len(a) > 2:
+            most = most_edits(len(a))
+            if len(b) - len(a) > most:
                 break
-            if len(b) - len(a) <= most and levenshtein(a, b) <= most:
-                linked.add(max(a, b, key=first.get))
-                links[a] += 1
-                links[b] += 1
+            if levenshtein(a, b) <= most and stays[a] != stays[b]:
+                low, high = sorted((stays[a], stays[b]))
+                stays = {x: low if p == high else p for x, p in stays.items()}
+                linked += 1
     assert linked
     expected = defaultdict(list)
     for d, t, *_ in rows:
-        mine = [] if t is None else [h for h in held if (h[0], h[4]) == (d if d is not None else 1 << 63, t)]
-        equal = [h[2] for h in mine if first[h[3]] != place(h)]
-        near = [h[2] for h in mine if h[3] in linked and h[2] not in equal]
-        expected[d].append((0 if t is None else t.count("\n") + 1, len(equal), len(near), sum(links[h[3]] for h in mine if h[2] not in equal), ",".join(map(str, sorted(equal + near)))))
+        mine = [] if t is None else sorted((h for h in held if (h[0], h[3]) == (d if d is not None else none, t)), key=lambda h: h[1])
+        gone = [h for h in mine if place(h) != stays[h[2]]]
+        equal = sum(place(h) != first[h[2]] for h in gone)
+        named = ",".join("{}:{}".format("null" if stays[h[2]][0] == none else stays[h[2]][0], stays[h[2]][1]) for h in gone)
+        expected[d].append((0 if t is None else t.count("\n") + 1, equal, len(gone) - equal, ",".join(str(h[1]) for h in gone), named))
     got = defaultdict(list)
     for r in run(spark, "op1_line_dedup", edge_dir).collect():
-        got[r.doc_id].append((r.n_lines, r.n_equal, r.n_near, r.n_links, r.removed_lines))
+        got[r.doc_id].append((r.n_lines, r.n_equal, r.n_near, r.removed_lines, r.classes))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in expected.items()}
 
 
+def test_op1_near_lines_of_all_lengths(spark):
+    import random
+
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdé fgh") for _ in range(n)).strip() + "x" for n in (12, 13, 16, 23, 24, 25, 31, 40, 47, 48, 95, 96, 97, 130, 191, 192, 224, 400) for _ in range(3)]
+    lines = []
+    for x in base:
+        lines.append(x)
+        for _ in range(6):
+            y = list(x)
+            for _ in range(rng.randint(1, most_edits(len(x)) + 1)):
+                at = rng.randrange(len(y) + 1)
+                y[at : at + rng.randint(0, 1)] = [rng.choice("abcdé fgh")] * rng.randint(0, 1)
+            lines.append("".join(y))
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    root = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j in range(i):
+            b = lines[j]
+            if abs(len(a) - len(b)) <= 4 and (a == b or trimmed_distance(a, b) <= most_edits(min(len(a), len(b)))):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    kept = {r.doc_id for r in line_dedup.dedup(docs).collect() if r.text}
+    held = {k for k in root if WORD.search(lines[k])}
+    assert kept == held and len(held) > len(base)  # some are too far from their origin
+
+
+def trimmed_distance(a: str, b: str) -> int:
+    while a and b and a[0] == b[0]:
+        k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        a, b = a[k:], b[k:]
+    while a and b and a[-1] == b[-1]:
+        k = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+        a, b = a[: len(a) - k], b[: len(b) - k]
+    return levenshtein(a, b)
+
+
 def test_op1_cut_text(spark, edge_dir):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     cut = line_dedup.dedup(docs)
@@ -104,12 +148,13 @@ def test_banded_distance(spark):
             at = rng.randrange(len(b) + 1)
             b[at : at + rng.randint(0, 1)] = [rng.choice("abcé ")] * rng.randint(0, 1)
         a, b = sorted(("".join(a), "".join(b)), key=len)
-        if len(b) - len(a) <= 2 < len(a):
+        if len(b) - len(a) <= 4 < len(a):
             pairs.append((a, b))
     pairs += [(a, b) for a, b in (("x" * 90 + "abc" + "y" * 90, "x" * 90 + "aXc" + "y" * 90 + "z"), ("ab" * 60, "b" + "ab" * 60))]
     df = line_dedup.trimmed(spark.createDataFrame(pairs, "a_line string, b_line string"))
-    for r in df.select(F.col("a_line").alias("x"), F.col("b_line").alias("y"), F.expr(line_dedup.edit_distance("a", "b", "2")).alias("d")).collect():
-        assert min(r.d, 3) == min(levenshtein(r.x, r.y), 3), (r.x, r.y)
+    for r in df.select(F.col("a_line").alias("x"), F.col("b_line").alias("y"), F.expr(line_dedup.edit_distance("a", "b", "2")).alias("d2"), F.expr(line_dedup.edit_distance("a", "b", "4")).alias("d4")).collect():
+        true = levenshtein(r.x, r.y)
+        assert min(r.d2, 3) == min(true, 3) and min(r.d4, 5) == min(true, 5), (r.x, r.y)
 
 
 def test_op2(spark, edge_dir, rows):
