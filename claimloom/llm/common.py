@@ -2,16 +2,22 @@
 
 Scratch tables go under the folder that the session names in
 ``spark.checkpoint.dir`` (shared by driver and executors).  Where it is unset,
-as in tests, a temporary folder of this process is named instead.
+as in tests, a temporary folder of this process is named instead; on a cluster
+that is an error, since each machine would write to its own disk.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, as a URI or path that both Spark and pyarrow.fs open."""
     base = spark.conf.get(CHECKPOINT, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT} names no folder that driver and executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="claimloom-"))
         base = f"file://{_OWN[0]}"
@@ -65,6 +73,20 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def steady() -> Iterator[None]:
+    """In a Python worker: no search for garbage cycles while many small objects live, and freed memory goes back at the end."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of a documents table, null text as the empty text."""
     return docs.select(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialise, partitions, prepare, scratch_path, table, texts
+from claimloom.llm.common import materialise, partitions, prepare, scratch_path, steady, table, texts
 from claimloom.llm.subword import encoder, vocabulary
 
 #: Fixed values of the seekable format.
@@ -70,7 +70,7 @@ class Writer:
                 struct.pack("<I", len(self.ids)),
                 np.array(self.ids, dtype="<i8").tobytes(),
                 np.array([len(t) for t in self.tokens], dtype="<u4").tobytes(),
-                *(t.astype("<u4").tobytes() for t in self.tokens),
+                np.concatenate(self.tokens).astype("<u4").tobytes(),
             ]
         )
         frame = self.zstd.compress(plain)
@@ -148,6 +148,19 @@ def open_shared(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _rename(filesystem, source: str, target: str) -> None:
+    """Moves a finished shard to its name; one that another attempt of the task has left there is as good and goes."""
+    from pyarrow import fs
+
+    try:
+        filesystem.move(source, target)
+    except OSError:
+        if filesystem.get_file_info(target).type != fs.FileType.File:
+            raise
+        filesystem.delete_file(target)
+        filesystem.move(source, target)
+
+
 def write(docs: DataFrame, path: str, vocab: str, end_id: int | None = END_ID, shards: int | None = None) -> DataFrame:
     """Writes the shards under ``path`` and returns their manifest.
 
@@ -167,24 +180,25 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int | None = END_ID, s
         name = f"shard-{shard:07d}.tok"
         temporary = f"{base}/.{name}.{context.taskAttemptId()}"
         enc, writer, out = encoder(vocab), None, None
-        end = np.array([] if end_id is None else [end_id], dtype=enc.dtype)
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.many(batch.column(1).to_pylist()), strict=True):
-                if writer is None:
-                    out = filesystem.open_output_stream(temporary)
-                    writer = Writer(out)
-                writer.add(doc_id, np.concatenate([ids, end]))
+        with steady():
+            for batch in batches:
+                for at in range(0, len(batch), 2000):
+                    rows = batch.slice(at, 2000)
+                    for doc_id, ids in zip(rows.column(0).to_pylist(), enc.many(rows.column(1), end_id), strict=True):
+                        if writer is None:
+                            out = filesystem.open_output_stream(temporary)
+                            writer = Writer(out)
+                        writer.add(doc_id, ids)
         if writer is not None:
             writer.close()
             n_bytes = out.tell()
             out.close()
-            filesystem.move(temporary, f"{base}/{name}")
+            _rename(filesystem, temporary, f"{base}/{name}")
             yield pa.RecordBatch.from_pydict(
                 {"shard": [shard], "name": [name], "n_docs": [writer.docs], "n_tokens": [writer.total], "n_bytes": [n_bytes]},
             )
 
-    by = ["doc_id", F.xxhash64("text").alias("_h")]
-    dealt = texts(docs).repartitionByRange(shards or partitions(spark), *by).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    dealt = texts(docs).repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return materialise(dealt.mapInArrow(encode, "shard long, name string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
 
 
