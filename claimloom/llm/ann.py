@@ -9,8 +9,10 @@ by hash, and a query visits all of them.  Equal vectors are one row with their
 smallest ids, as many as a result can hold.
 
 Scores are cosines of the original vectors in double precision.  Vectors that
-are null, zero, hold a null or non-finite component, or have another length
-than most, and rows without a vec_id, take no part.  Rows that repeat a vec_id
+are null, zero or hold a null or non-finite component, and rows without a
+vec_id, take no part.  Vectors are near vectors of their own length only.  A
+query that its probes leave with too few neighbours is held against all blocks
+of one table, where every vector stands once.  Rows that repeat a vec_id
 and its vector count once.  No candidates: no rows.  Extra columns are not read.
 """
 
@@ -69,8 +71,10 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 def clean(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the vectors that take part."""
     e = F.col("embedding")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<float>").alias("embedding"))
-    infinite = F.array(F.lit(float("inf")).cast("float"), F.lit(float("-inf")).cast("float"), F.lit(float("nan")).cast("float"))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    e = e.cast(f"array<{kind}>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
+    infinite = F.array(*[F.lit(x).cast(kind) for x in (float("inf"), float("-inf"), float("nan"))])
     ok = e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda v: v.isNull() | F.array_contains(infinite, v)) & F.exists(e, lambda v: v != 0)
     return rows.filter(F.col("vec_id").isNotNull()).filter(F.coalesce(ok, F.lit(False)))
 
@@ -100,11 +104,16 @@ def nearest(vectors: DataFrame, query: F.Column, k: int = NEAREST) -> DataFrame:
     prepare(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     rows = clean(vectors)
-    lengths = rows.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    if lengths is None:
-        return spark.createDataFrame([], schema)
-    width = lengths.n
-    rows = rows.filter(F.size("embedding") == width).distinct()
+    every = spark.createDataFrame([], schema)
+    for (width,) in sorted(rows.select(F.size("embedding")).distinct().collect()):  # a table of embeddings has few lengths
+        every = every.unionByName(_nearest(rows.filter(F.size("embedding") == width), query, k, width))
+    return every
+
+
+def _nearest(rows: DataFrame, query: F.Column, k: int, width: int) -> DataFrame:
+    """``nearest`` among vectors of one length."""
+    spark = rows.sparkSession
+    rows = rows.distinct()
     # a result of one vector holds at most k others and the query itself
     numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     base = materialise(numbered.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("ids", "embedding"), "ann-vectors")
@@ -137,14 +146,26 @@ def nearest(vectors: DataFrame, query: F.Column, k: int = NEAREST) -> DataFrame:
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("q", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
     n = partitions(spark)
-    found = (
-        indexed.repartition(n, "bucket", "block").groupBy("bucket", "block")
-        .cogroup(probing.repartition(n, "bucket", "block").groupBy("bucket", "block"))
-        .applyInArrow(compare, "q long, vec_id long, score double")
-    )
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    merged = found.groupBy("q", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
-    lists = merged.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))
+
+    def met(asking: DataFrame, held: DataFrame) -> DataFrame:
+        """(q, found): the best of what the queries meet in the blocks."""
+        pairs = (
+            held.repartition(n, "bucket", "block").groupBy("bucket", "block")
+            .cogroup(asking.repartition(n, "bucket", "block").groupBy("bucket", "block"))
+            .applyInArrow(compare, "q long, vec_id long, score double")
+        )
+        merged = pairs.groupBy("q", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+        return merged.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))
+
+    lists = materialise(met(probing, indexed), "ann-lists")
+    enough = min(k + 1, rows.select("vec_id").limit(k + 1).count())
+    short = queries.join(lists.filter(F.size("found") >= enough), "q", "left_anti")
+    if not short.isEmpty():
+        first = sorted((b, -(-c // BLOCK)) for b, c in crowds.items() if b < 2 * (1 << max(1, (width - 1).bit_length())))  # the first table's
+        blocks_of = F.array(*[F.struct(F.lit(b).cast("int").alias("bucket"), F.lit(x).cast("int").alias("block")) for b, c in first for x in range(c)])
+        asking = short.withColumn("at", F.explode(blocks_of)).select("at.bucket", "q", "embedding", "at.block")
+        lists = lists.join(short.select("q"), "q", "left_anti").unionByName(met(asking, indexed.join(F.broadcast(asking.select("bucket").distinct()), "bucket", "left_semi")))
     same = asked.join(queries, "embedding").select(F.col("vec_id").alias("query_id"), "q")
     others = same.join(lists, "q").select("query_id", F.slice(F.filter("found", lambda x: x.vec_id != F.col("query_id")), 1, k).alias("found"))
     flat = others.select("query_id", F.posexplode("found").alias("p", "x"))
