@@ -27,6 +27,7 @@ corpus.  An empty table gives no rows.  Extra columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -36,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialise, prepare, table, texts
+from claimloom.llm.common import materialise, prepare, steadily, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
@@ -58,13 +60,26 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of e-mail addresses, found from their signs, so that long runs of letters cost no more than their length."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            end = m.end()
+            yield start, end
+        at = text.find("@", max(end, at + 1))
+
+
 def pattern_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the pattern kinds, by start, then kind."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        out += [(s, 0, e) for s, e in emails(text)]
     if "." in text:
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(y := x.lstrip("0")) <= 3 and int(y or "0") <= 255 for x in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
             out.append((m.start(), 2, m.end()))
@@ -82,29 +97,27 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, st
     """(entity, term, start, end) of the words within REACH words of each span, none that overlaps a span."""
     if not spans:
         return []
+    words, at, end = [], 0, 0
+    for m in WORD.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            end = max(end, spans[at][2])
+            at += 1
+        words.append((m.start(), m.end(), m.start() < end))
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
     out = []
-    covered = [(s, e) for s, _, e in spans]
     for start, kind, end in spans:
         e = entity(kind, text[start:end])
-        low = start
-        for _ in range(REACH + 1):  # a word more, so that none is cut
-            low = max(text.rfind(" ", 0, low), text.rfind("\n", 0, low), 0)
-        before = list(WORD.finditer(text, low, start))[-REACH:]
-        after = []
-        for m in WORD.finditer(text, end):
-            after.append(m)
-            if len(after) == REACH:
-                break
-        for m in (*before, *after):
-            if len(m[0]) >= MIN_TERM and not any(m.start() < y and x < m.end() for x, y in covered):
-                out.append((e, m[0].lower(), m.start(), m.end()))
+        before, after = bisect.bisect_right(ends, start), bisect.bisect_left(starts, end)
+        for s, t, covered in (*words[max(0, before - REACH) : before], *words[after : after + REACH]):
+            if t - s >= MIN_TERM and not covered:
+                out.append((e, text[s:t].lower(), s, t))
     return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row a document: doc_id, key (of the text), its pattern spans, the words near them."""
+    """A row a document: doc_id, key (of the text), its pattern spans, what they mention, the words near them."""
     prepare(docs.sparkSession)
-    schema = "doc_id long, key binary, spans array<struct<start:int,kind:int,end:int>>, near array<struct<entity:string,term:string,start:int,end:int>>"
+    schema = "doc_id long, key binary, spans array<struct<start:int,kind:int,end:int>>, mentioned array<string>, near array<struct<entity:string,term:string,start:int,end:int>>"
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -112,16 +125,17 @@ def scan(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
-                keys, spans, near = [], [], []
+                keys, spans, mentioned, near = [], [], [], []
                 for text in batch.column(1).to_pylist():
                     found = pattern_spans(text)
                     spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
+                    mentioned.append(sorted({entity(k, text[s:e]) for s, k, e in found} | {KINDS[k] for _, k, _ in found}))
                     near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in contexts(text, found)])
                     keys.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
-                arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array(spans, span_type), pa.array(near, near_type)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "spans", "near"])
+                arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array(spans, span_type), pa.array(mentioned, pa.list_(pa.string())), pa.array(near, near_type)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "spans", "mentioned", "near"])
 
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(steadily(run), schema)
 
 
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -142,7 +156,7 @@ def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"term": list(seen), "df": list(seen.values())})
 
     distinct = texts(docs).groupBy(F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s")).agg(F.first("text").alias("text")).select("text")
-    counted = distinct.mapInArrow(run, "term string, df long")
+    counted = distinct.mapInArrow(steadily(run), "term string, df long")
     return counted.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
 
 
@@ -153,7 +167,7 @@ def revealing(docs: DataFrame, scanned: DataFrame, reach: float = DISCLOSURE, su
     mentions = materialise(mentions.unionByName(kinds).distinct(), "pii-mentions")
     by_value = F.col("entity").contains(":")
     pairs = mentions.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(~by_value | (F.col("both") >= support))
-    entities = mentions.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
+    entities = scanned.select("key", F.explode("mentioned").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
     pairs = materialise(pairs, "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("term")
@@ -197,12 +211,12 @@ def mark(docs: DataFrame, told: frozenset[str]) -> DataFrame:
                 arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array(spans, span_type), pa.array(terms, term_type)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "spans", "terms"])
 
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(steadily(run), schema)
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, key, spans, terms): pattern spans and revealing terms of each document."""
-    scanned = materialise(scan(docs).select("key", "near"), "pii-scan")
+    scanned = materialise(scan(docs).select("key", "mentioned", "near"), "pii-scan")
     told = revealing(docs, scanned).toLocalIterator()  # no more than the vocabulary near protected values
     return mark(docs, frozenset(r.term for r in told))
 
