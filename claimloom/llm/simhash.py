@@ -12,7 +12,9 @@ From a cell only a spanning forest of its links goes on, never all pairs; the
 components of the forest are the groups.
 
 Null or empty texts, and texts without words, have fingerprint zero and link
-like any other.  Repeated rows are linked by equal fingerprints.  Null doc_ids
+like any other.  Repeated rows are linked by equal fingerprints.  Other texts of
+one doc_id are documents of their own: each row has its own text's group, and
+the group's name is the smallest doc_id of its rows.  Null doc_ids
 are in no group and have a null component.  An empty table gives no rows.
 Extra columns are not read.
 """
@@ -24,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialise, partitions, prepare, table, texts
+from claimloom.llm.common import materialise, partitions, prepare, steadily, table, texts
 from claimloom.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -69,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 found = np.array([fingerprint(t, width) for t in rows.column(1).to_pylist()], dtype=np.uint64)
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "fp": pa.array(found.view(np.int64))})
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).mapInArrow(steadily(run), "doc_id long, fp long")
 
 
 def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,29 +187,22 @@ def links(distinct: DataFrame) -> DataFrame:
         for at in range(0, len(u), 100_000):
             yield pa.RecordBatch.from_pydict({"u": u[at : at + 100_000], "v": v[at : at + 100_000]})
 
-    dealt = distinct.select("fp", "id").mapInArrow(deal, "cell int, fp long, id long")
-    return dealt.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(join, "u long, v long")
+    dealt = distinct.select("fp", "id").mapInArrow(steadily(deal), "cell int, fp long, id long")
+    return dealt.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(steadily(join), "u long, v long")
 
 
 def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) of each document."""
     found = materialise(fingerprints(docs, width), "fingerprints")
     distinct = materialise(found.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
-    of = components(links(distinct))
-    named = materialise(distinct.join(of, distinct["id"] == of["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")), "fingerprint-groups")
+    of = components(links(distinct.select("fp", F.col("fp").alias("id"))))  # of fingerprints: a doc_id may have several texts
+    rooted = distinct.join(of.hint("shuffle_merge"), distinct["fp"] == of["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = materialise(rooted.join(least.hint("shuffle_merge"), "root").select("fp", "component_id"), "fingerprint-groups")
     joined = found.join(named.hint("shuffle_merge"), "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def dedup(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each group: of its smallest doc_id the row whose columns' hash is least."""
-    keep = groups(docs, width).filter("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    keep = keep.select(F.col("doc_id").alias("_claimloom_keep"))
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_claimloom_keep")), "left_semi")
-    hashed = kept.withColumn("_claimloom_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))))
-    return hashed.filter("_claimloom_row = 1 OR doc_id IS NULL").select(*docs.columns)
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = groups(table(spark, sf_dir, "documents"))
