@@ -14,7 +14,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,16 +22,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 ROOT = str(Path(__file__).resolve().parents[2])
 _OWN: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
+    """Let Python workers import this package wherever the driver was started, and take batches of a bounded size."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS:  # whole texts: fewer of them in memory at a time
+        spark.conf.set(BATCH, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +90,16 @@ def steady() -> Iterator[None]:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def steadily(run: Callable) -> Callable:
+    """``run`` of a mapInArrow, held steady."""
+
+    def held(batches):
+        with steady():
+            yield from run(batches)
+
+    return held
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of a documents table, null text as the empty text."""
     return docs.select(

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialise, prepare, steady, table, texts
+from claimloom.llm.common import materialise, prepare, steadily, table, texts
 from claimloom.llm.subword import encoder, vocabulary
 
 WINDOW, END_ID = 2048, 1
@@ -40,23 +40,22 @@ def encode(docs: DataFrame, vocab: str, end_id: int = END_ID) -> DataFrame:
         enc = encoder(vocab)
         seen = np.zeros(enc.size, dtype="<u4")
         some = False
-        with steady():
-            for batch in batches:
-                for at in range(0, len(batch), 2000):
-                    rows = batch.slice(at, 2000)
-                    if not len(rows):
-                        continue
-                    every = list(enc.many(rows.column(1), end_id))
-                    n = np.array([len(ids) for ids in every], dtype=np.int64)
-                    held = np.sort(np.repeat(np.arange(len(every), dtype=np.uint64) << np.uint64(32), n) | np.concatenate(every))
-                    held = held[np.append(True, held[1:] != held[:-1])]  # each token of a document once
-                    seen += np.bincount((held & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=enc.size).astype("<u4")
-                    some = True
-                    yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "n": pa.array(n), "ids": pa.array([ids.tobytes() for ids in every], pa.binary())})
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                rows = batch.slice(at, 2000)
+                if not len(rows):
+                    continue
+                every = list(enc.many(rows.column(1), end_id))
+                n = np.array([len(ids) for ids in every], dtype=np.int64)
+                held = np.sort(np.repeat(np.arange(len(every), dtype=np.uint64) << np.uint64(32), n) | np.concatenate(every))
+                held = held[np.append(True, held[1:] != held[:-1])]  # each token of a document once
+                seen += np.bincount((held & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=enc.size).astype("<u4")
+                some = True
+                yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "n": pa.array(n), "ids": pa.array([ids.tobytes() for ids in every], pa.binary())})
         if some:
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None], pa.int64()), "n": pa.array([None], pa.int64()), "ids": pa.array([seen.tobytes()], pa.binary())})
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, ids binary")
+    return texts(docs).mapInArrow(steadily(run), "doc_id long, n long, ids binary")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import trees
-from claimloom.llm.common import prepare, table
+from claimloom.llm.common import prepare, steadily, table
 
 SAMPLE = 4000
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> trees.For
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
         .select("text", "quality")
-        .mapInArrow(run, "quality int, x array<double>")
+        .mapInArrow(steadily(run), "quality int, x array<double>")
         .orderBy(F.xxhash64(F.col("x"), "quality"))
         .limit(sample)
         .collect()
@@ -146,7 +146,7 @@ def judge(docs: DataFrame, forest: trees.Forest | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *new])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, {COUNTS}, kept boolean")
+    return docs.mapInArrow(steadily(run), f"{fields}, {COUNTS}, kept boolean")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import bigru
-from claimloom.llm.common import prepare, table, texts
+from claimloom.llm.common import prepare, steadily, table, texts
 
 SAMPLE, LONGEST, FOLDS = 3000, 5_000, 5
 
@@ -77,7 +77,7 @@ def score(docs: DataFrame, model: bigru.Model | float) -> DataFrame:
                     {"doc_id": batch.column(0), "held_out": held, "score": pa.array(values, pa.float64()), "predicted": pa.array((values >= 0.5).astype(np.int32))}
                 )
 
-    return texts(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return texts(docs).mapInArrow(steadily(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

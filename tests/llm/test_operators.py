@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from claimloom.llm import line_dedup, mixing, packing, pii, quality, registry, simhash, suffix_dedup, token_store
+from claimloom.llm import ann, line_dedup, mixing, packing, pii, quality, registry, simhash, suffix_dedup, token_store
 from claimloom.llm.subword import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -349,26 +349,24 @@ def slow_fingerprint(t):
 
 
 def test_op7(spark, edge_dir, rows):
-    fp = {r[0]: slow_fingerprint(r[1]) for r in rows if r[0] not in (None, 81)}
-    got = [r for r in run(spark, "op7_simhash", edge_dir).collect() if r.doc_id != 81]
-    assert all(r.component_id is None for r in got if r.doc_id is None)
-    root = {d: d for d in fp}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for a in fp:
-        for b in fp:
-            if a < b and (fp[a] ^ fp[b]).bit_count() <= 4:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    for r in got:
-        if r.doc_id is not None:
-            assert (int(r.fingerprint, 16), r.component_id) == (fp[r.doc_id], find(r.doc_id))
-    kept = simhash.dedup(spark.read.parquet(f"{edge_dir}/documents.parquet").filter("doc_id <> 81")).select("doc_id").collect()
-    assert sorted(r.doc_id for r in kept) == sorted({find(d) for d in fp})
+    fps = [(d, slow_fingerprint(t)) for d, t, *_ in rows if d is not None]
+    root = {fp: fp for _, fp in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in list(root):
+        for b in list(root):
+            if (a ^ b).bit_count() <= 4:
+                root[find(b)] = find(a)
+    least: dict[int, int] = {}
+    for d, fp in fps:
+        least[find(fp)] = min(d, least.get(find(fp), d))
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in run(spark, "op7_simhash", edge_dir).collect())
+    assert Counter({k: n for k, n in got.items() if k[0] is not None}) == Counter((d, f"{fp:016x}", least[find(fp)]) for d, fp in fps)
+    assert all(c is None for d, _, c in got if d is None)
 
 
 def test_op7_planted_bits(spark):
@@ -530,3 +528,52 @@ def test_pipeline_stages(spark, edge_dir, rows):
             assert docs.count() == before.count()
     assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert Counter(r.doc_id for r in docs.collect() if r.start == 0) == Counter(r.doc_id for r in before.collect())
+
+
+def test_op6_few_vectors(spark):
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 6, 9, 40):
+        x = rng.normal(size=(n, 64))
+        vectors = spark.createDataFrame([(50 * i, row.tolist()) for i, row in enumerate(x)] + [(7, [1.0, 2.0])], "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for r in ann.nearest(vectors, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for i in range(n):
+            found = got[50 * i]
+            assert len(found) == min(5, n - 1)
+            assert all(abs(score - unit[i] @ unit[v // 50]) < 1e-12 for v, score in found)
+            if n <= 6:
+                best = sorted(((-(unit[i] @ unit[j]), 50 * j) for j in range(n) if j != i))[:5]
+                assert [v for v, _ in found] == [v for _, v in best]
+
+
+def test_pii_patterns_against_plain_search():
+    import random
+
+    rng = random.Random(2)
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        t = "".join(rng.choice("ab1.0-@ 29") for _ in range(rng.randint(0, 40)))
+        want = [(m.start(), 0, m.end()) for m in email.finditer(t)] + [(m.start(), 1, m.end()) for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [x for x in pii.pattern_spans(t) if x[1] < 2] == sorted(want), t
+    assert pii.pattern_spans("1.2.3." + "0" * 9000 + "4") == [(0, 1, 9007)]
+    for long in ("a" * 1_000_000, "a" * 1_000_000 + "@b", "1" * 1_000_000, "1." * 400_000, "a@" * 400_000, "+1" + "(" * 1_000_000):
+        pii.pattern_spans(long)  # quadratic search would take hours
+
+
+def test_encoder_against_library():
+    import random
+
+    from claimloom.llm.subword import Encoder
+
+    enc = Encoder(vocabulary(), keep=300)  # generations change
+    rng = random.Random(4)
+    signs = "aé ß'sİ1½²\n\t.ſ日\u0301tŒ÷×ªµ\xa0\xadA,"
+    texts = ["", " ", "\n\n", "<|endoftext|> x", "it's can't'S 'ſ", "e\u0301 É", "x" * 5000, "\x00\x01 a", "\u0085next", "😀👍🏽 ok", "don''t --- ..."]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += ["".join(rng.choice("abcdefgh é.,'st12") for _ in range(rng.randint(0, 200))) for _ in range(1500)]
+    for group in (1, 500, 1 << 22):
+        for t, ids in zip(texts, enc.many(texts, 7, group), strict=True):
+            assert ids.tolist() == [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 7], t
