@@ -96,7 +96,7 @@ def surface(c="text") -> dict[str, Column]:
     n_char, n_sentence = F.length(s), F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
     n_punc = F.length(F.regexp_replace(s, PUNCTUATION, ""))
     split = T.words(s)
-    n_upper = F.size(F.filter(split, lambda w: (w == F.upper(w)) & (w != F.lower(w))))
+    n_upper = F.regexp_count(s, F.lit(r"(?<!\S)[^\s\p{Ll}]*\p{Lu}[^\s\p{Ll}]*(?!\S)"))  # a capital and no small letter
     n_word = F.size(split)
     return {
         "num_char": n_char, "num_sentence": n_sentence, "num_punc": n_punc, "num_upper": n_upper, "num_word": n_word,

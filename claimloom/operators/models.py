@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +71,59 @@ def fit_pipeline(train: DataFrame, kind: str = "svc", features: int = 1 << 14, *
     return Pipeline(stages=[words, tf, idf, model]).fit(train)
 
 
+def model_path(spark, name: str) -> str:
+    """A fresh place for a model: in the folder that driver and executors share, where the session names one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='claimloom-')}"
+    return f"{base.rstrip('/')}/claimloom-models/{name}-{uuid.uuid4().hex}"
+
+
+def save(model, path: str) -> None:
+    """SNK-05: a fitted pipeline, with its vocabulary and weights."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str):
+    """MDL-15."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def decisions(model, rows: DataFrame) -> DataFrame:
+    """MDL-15: ``rows`` with ``predicted`` and ``decision``, the signed distance or log-odds of class 1."""
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(rows)
+    return scored.select(*rows.columns, F.col("prediction").cast("int").alias("predicted"), F.element_at(vector_to_array("rawPrediction"), -1).alias("decision"))
+
+
+def term_weights(train: DataFrame, kind: str = "svc", most: int = 20_000, min_df: int = 3) -> DataFrame:
+    """SEL-04, SEL-05, SEL-08, SEL-10: (term, weight) of a linear model over TF-IDF of (text, label); ``most`` terms at most."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
+
+    words = RegexTokenizer(inputCol="text", outputCol="_words", pattern="[a-z0-9_]{2,}", gaps=False)
+    counted = CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=most, minDF=min_df)
+    linear = LinearSVC(maxIter=20, tol=1e-3) if kind == "svc" else LogisticRegression(maxIter=20, elasticNetParam=1.0, regParam=0.01)
+    model = Pipeline(stages=[words, counted, IDF(inputCol="_tf", outputCol="features"), linear]).fit(train.filter("text IS NOT NULL"))
+    weights = zip(model.stages[1].vocabulary, model.stages[3].coefficients.toArray().tolist(), strict=True)
+    return train.sparkSession.createDataFrame(list(weights), "term string, weight double")  # the vocabulary: at most ``most`` rows
+
+
+def squared(weights: DataFrame) -> DataFrame:
+    """SEL-05: (term, score): squared weights as parts of the largest."""
+    largest = weights.agg(F.max(F.col("weight") * F.col("weight")).alias("_m"))
+    return weights.crossJoin(F.broadcast(largest)).select("term", F.try_divide(F.col("weight") * F.col("weight"), F.col("_m")).alias("score"))  # one row
+
+
+def top_terms(weights: DataFrame, n: int = 10) -> DataFrame:
+    """SEL-08: (label, place, term, weight): the ``n`` terms that speak most for either class."""
+    sides = [weights.orderBy(F.col("weight") * -sign, "term").limit(n).withColumn("label", F.lit(label)) for label, sign in ((1, 1), (0, -1))]
+    placed = [s.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.abs("weight")), "term"))) for s in sides]
+    return placed[0].unionByName(placed[1]).select("label", "place", "term", "weight")
+
+
 def cross_validate(rows: DataFrame, kind: str, k: int = 3) -> list[float]:
     """MDL-14: accuracy of each fold (column ``fold`` from 1)."""
     out = []

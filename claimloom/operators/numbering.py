@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(rows: DataFrame, order: str, name: str = "row_id") -> DataFrame:
-    """JON-03: 1.. in the order of a unique column.
+def numbered(rows: DataFrame, order, name: str = "row_id") -> DataFrame:
+    """JON-03: 1.. in the order of a unique column, or of several that are unique together.
 
     Rows are sorted over range partitions and numbered within them; a row a
     partition tells how many come before.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told, so that it is not changed at run time
-    dealt = rows.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
+    by = order if isinstance(order, (list, tuple)) else [order]
+    dealt = rows.repartitionByRange(parts, *by).withColumn("_p", F.spark_partition_id())
     counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
+    within = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*by)))
     return within.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_r")).drop("_p", "_before", "_r")  # a row a partition

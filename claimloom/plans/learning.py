@@ -46,25 +46,25 @@ def tok_05(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.sentences("text").alias("sentences"))
 
 
-_VOCAB = f"counts AS (SELECT term, count(*) AS n FROM (SELECT unnest({_ALL}) AS term FROM documents) GROUP BY term), vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY n DESC, term) AS INTEGER) AS id FROM counts QUALIFY id <= 500)"
+_VOCAB = f"counts AS (SELECT term, count(*) AS n FROM (SELECT unnest({_ALL}) AS term FROM documents) GROUP BY term), vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY n DESC, term) AS INTEGER) AS id FROM counts QUALIFY id <= 20000)"
 _IDS = f"{_VOCAB}, placed AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM (SELECT doc_id, {_ALL} AS w FROM documents)), ids AS (SELECT doc_id, list(id ORDER BY p) AS ids FROM placed JOIN vocab ON vocab.term = placed.w[placed.p] GROUP BY doc_id), every AS (SELECT d.doc_id, coalesce(ids, []) AS ids FROM documents d LEFT JOIN ids ON ids.doc_id = d.doc_id)"
 
 
 @query("tok_06_vocabulary", f"WITH {_VOCAB} SELECT term, id FROM vocab")
 def tok_06(spark, sf_dir):
-    return X.vocabulary(docs(spark, sf_dir), most=500)
+    return X.vocabulary(docs(spark, sf_dir), most=20_000)
 
 
-@query("tok_07_padded", f"WITH {_IDS} SELECT doc_id, list_resize(ids, 100, 0) AS post, list_resize(list_reverse(ids), 100, 0) AS pre FROM every")
+@query("tok_07_padded", f"WITH {_IDS} SELECT doc_id, list_resize(ids, 1000, 0) AS post, list_resize(list_reverse(ids), 1000, 0) AS pre FROM every")
 def tok_07(spark, sf_dir):
     d = docs(spark, sf_dir)
-    ids = X.id_sequences(d, X.vocabulary(d, most=500))
-    return ids.select("doc_id", X.padded("ids", 100).alias("post"), F.reverse(X.padded("ids", 100, "pre")).alias("pre"))
+    ids = X.id_sequences(d, X.vocabulary(d, most=20_000))
+    return ids.select("doc_id", X.padded("ids", 1000).alias("post"), F.reverse(X.padded("ids", 1000, "pre")).alias("pre"))
 
 
-@query("tok_08_hierarchical", r"WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, '.'), lambda s: trim(s)), lambda s: s <> '') AS s FROM documents), w AS (SELECT doc_id, list_transform(s[1:5], lambda x: list_resize(regexp_extract_all(x, '\S+'), 10, '')) AS w FROM s) SELECT doc_id, list_resize(w, 5, ['', '', '', '', '', '', '', '', '', '']) AS tensor FROM w")
+@query("tok_08_hierarchical", r"WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, '.'), lambda s: trim(s)), lambda s: s <> '') AS s FROM documents), w AS (SELECT doc_id, list_transform(s[1:15], lambda x: list_resize(regexp_extract_all(x, '\S+'), 100, '')) AS w FROM s) SELECT doc_id, list_resize(w, 15, list_resize(['']::VARCHAR[], 100, '')) AS tensor FROM w")
 def tok_08(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", X.hierarchical("text", 5, 10).alias("tensor"))
+    return docs(spark, sf_dir).select("doc_id", X.hierarchical("text").alias("tensor"))
 
 
 @query("tok_10_bag_of_words", f"WITH c AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_ALL}) AS term FROM documents) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY term), top AS (SELECT term FROM df ORDER BY df DESC, term LIMIT 100), k AS (SELECT term FROM df WHERE term NOT IN (SELECT term FROM top) AND df >= 5 AND df <= 0.5 * (SELECT count(*) FROM documents)) SELECT doc_id, term, n FROM c WHERE term IN (SELECT term FROM k)")
@@ -83,7 +83,7 @@ _SURFACE = {
     "num_char": "length(text)",
     "num_sentence": "length(text) - length(replace(text, '.', ''))",
     "num_punc": r"length(regexp_replace(text, '[^!-/:-@\[-`{-~]', '', 'g'))",
-    "num_upper": r"len(list_filter(regexp_extract_all(text, '\S+'), lambda w: w = upper(w) AND w <> lower(w)))",
+    "num_upper": r"len(list_filter(regexp_extract_all(text, '\S+'), lambda w: regexp_matches(w, '\p{Lu}') AND NOT regexp_matches(w, '\p{Ll}')))",
     "num_word": r"len(regexp_extract_all(text, '\S+'))",
 }
 
@@ -94,16 +94,16 @@ def fea_01(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", s["num_char"].cast("long").alias("length"), s["num_sentence"].cast("long").alias("sentences"))
 
 
-@query("fea_02_surface", f"SELECT doc_id, {', '.join(f'CAST({v} AS BIGINT) AS {k}' for k, v in _SURFACE.items())} FROM documents WHERE NOT contains(text, 'ß')")
+@query("fea_02_surface", f"SELECT doc_id, {', '.join(f'CAST({v} AS BIGINT) AS {k}' for k, v in _SURFACE.items())} FROM documents")
 def fea_02(spark, sf_dir):
     s = X.surface()
-    return docs(spark, sf_dir).filter(~F.contains("text", F.lit("ß"))).select("doc_id", *[s[k].cast("long").alias(k) for k in _SURFACE])
+    return docs(spark, sf_dir).select("doc_id", *[s[k].cast("long").alias(k) for k in _SURFACE])
 
 
-@query("fea_03_ratios", f"WITH s AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _SURFACE.items())} FROM documents WHERE NOT contains(text, 'ß')) SELECT doc_id, round(num_punc / (num_char + 1), 9) AS punc_ratio, round(num_upper / (num_char + 1), 9) AS upper_ratio, round(num_word / (num_sentence + 1), 9) AS words_per_sentence FROM s")
+@query("fea_03_ratios", f"WITH s AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _SURFACE.items())} FROM documents) SELECT doc_id, round(num_punc / (num_char + 1), 9) AS punc_ratio, round(num_upper / (num_char + 1), 9) AS upper_ratio, round(num_word / (num_sentence + 1), 9) AS words_per_sentence FROM s")
 def fea_03(spark, sf_dir):
     s = X.surface()
-    return docs(spark, sf_dir).filter(~F.contains("text", F.lit("ß"))).select("doc_id", *[F.round(s[k], 9).alias(k) for k in ("punc_ratio", "upper_ratio", "words_per_sentence")])
+    return docs(spark, sf_dir).select("doc_id", *[F.round(s[k], 9).alias(k) for k in ("punc_ratio", "upper_ratio", "words_per_sentence")])
 
 
 _LEX = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS feature, round(CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda x: x IN ({quoted(v)}))) / len(t) END, 9) AS value FROM t" for k, v in sorted(LEXICONS.items()))
@@ -235,12 +235,12 @@ def sel_01(spark, sf_dir):
     return X.chi2(values, rows.select("doc_id", "label")).select("feature", F.round("chi2", 6).alias("chi2"))
 
 
-_SURF = " UNION ALL ".join(f"SELECT doc_id, label, '{k}' AS feature, ({v})::DOUBLE AS value FROM classed" for k, v in _SURFACE.items() if k != "num_upper")
+_SURF = " UNION ALL ".join(f"SELECT doc_id, label, '{k}' AS feature, ({v})::DOUBLE AS value FROM classed" for k, v in _SURFACE.items())
 _FSCORE = f"WITH {CLASSED}, v AS ({_SURF}), a AS (SELECT feature, corr(value, label) AS r, count(*) AS n FROM v GROUP BY feature)"
 
 
 def _surface_values(rows):
-    return X.unpivoted(rows, {k: v for k, v in X.surface().items() if k in _SURFACE and k != "num_upper"})
+    return X.unpivoted(rows, {k: v for k, v in X.surface().items() if k in _SURFACE})
 
 
 @query("sel_02_f_score", _FSCORE + " SELECT feature, round(r * r * (n - 2) / (1 - r * r), 4) AS f FROM a")
@@ -374,6 +374,39 @@ def mdl_01(spark, sf_dir):
     return model.transform(rows.filter("doc_id % 5 = 0")).select("doc_id", "label", F.col("prediction").cast("int").alias("predicted"))
 
 
+@query("mdl_15_reloaded")
+def mdl_15(spark, sf_dir):
+    """A model that is saved, loaded again and asked for its decision values."""
+    rows = classed(spark, sf_dir).select("doc_id", "text", "label")
+    path = M.model_path(spark, "svc")
+    M.save(M.fit_pipeline(rows.filter("doc_id % 5 <> 0"), "svc"), path)
+    return M.decisions(M.load(path), rows.filter("doc_id % 5 = 0")).select("doc_id", "label", "predicted", "decision")
+
+
+def _linear(spark, sf_dir, kind):
+    return M.term_weights(classed(spark, sf_dir).select("doc_id", "text", "label"), kind)
+
+
+@query("sel_04_l1_terms")
+def sel_04(spark, sf_dir):
+    return _linear(spark, sf_dir, "l1").filter(F.abs("weight") >= 1e-5).select("term", "weight")
+
+
+@query("sel_05_squared_weights")
+def sel_05(spark, sf_dir):
+    return M.squared(_linear(spark, sf_dir, "svc"))
+
+
+@query("sel_08_top_terms")
+def sel_08(spark, sf_dir):
+    return M.top_terms(_linear(spark, sf_dir, "svc"), 10)
+
+
+@query("sel_10_density")
+def sel_10(spark, sf_dir):
+    return _linear(spark, sf_dir, "l1").agg(F.avg((F.col("weight") != 0).cast("double")).alias("density"), F.count("*").alias("terms"))
+
+
 @query("mdl_11_topics")
 def mdl_11(spark, sf_dir):
     rows = docs(spark, sf_dir)

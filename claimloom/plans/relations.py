@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
+from claimloom.operators.numbering import numbered
 from claimloom.operators import crosstab as X
 from claimloom.operators import relational as R
 from claimloom.plans.base import ARTICLES, CLASSED, articles, classed, query, quoted, table
@@ -33,8 +34,6 @@ def jon_03(spark, sf_dir):
 
 
 def R_zip(a, a_key, b, b_key):
-    from claimloom.operators.numbering import numbered
-
     return numbered(a, a_key).join(numbered(b, b_key), "row_id")
 
 
@@ -147,16 +146,16 @@ def lbl_03(spark, sf_dir):
 _SOFT = "[greatest(0.0, 1 - abs(1 + value % 4 - k)) for k in [1, 2, 3, 4, 5]]"
 
 
-@query("lbl_04_soft", f"SELECT event_id, list_transform({_SOFT}, lambda x: round(x, 6)) AS p FROM (SELECT event_id, value FROM events WHERE value >= 0)")
+@query("lbl_04_soft", f"SELECT event_id, list_transform({_SOFT}, lambda x: round(x, 6)) AS p FROM (SELECT event_id, value FROM events)")
 def lbl_04(spark, sf_dir):
     p = R.soft(1 + F.col("value") % 4, 5)
-    return table(spark, sf_dir, "events").filter("value >= 0").select("event_id", F.transform(p, lambda x: F.round(x, 6)).alias("p"))
+    return table(spark, sf_dir, "events").select("event_id", F.transform(p, lambda x: F.round(x, 6)).alias("p"))
 
 
-@query("lbl_05_decode", f"WITH s AS (SELECT event_id, {_SOFT} AS p FROM events WHERE value >= 0) SELECT event_id, list_position(p, list_max(p)) AS class, round(p[1] + 2 * p[2] + 3 * p[3] + 4 * p[4] + 5 * p[5], 6) AS mean FROM s")
+@query("lbl_05_decode", f"WITH s AS (SELECT event_id, {_SOFT} AS p FROM events) SELECT event_id, list_position(p, list_max(p)) AS class, round(p[1] + 2 * p[2] + 3 * p[3] + 4 * p[4] + 5 * p[5], 6) AS mean FROM s")
 def lbl_05(spark, sf_dir):
     p = R.soft(1 + F.col("value") % 4, 5)
-    return table(spark, sf_dir, "events").filter("value >= 0").select("event_id", R.argmax(p).cast("int").alias("class"), F.round(R.expectation(p), 6).alias("mean"))
+    return table(spark, sf_dir, "events").select("event_id", R.argmax(p).cast("int").alias("class"), F.round(R.expectation(p), 6).alias("mean"))
 
 
 @query("lbl_06_one_hot", "SELECT doc_id, [CAST(quality = k AS INTEGER)::DOUBLE for k in [0, 1]] AS hot FROM labels")
@@ -197,9 +196,9 @@ def smp_04(spark, sf_dir):
     return R.split_fractions(table(spark, sf_dir, "labels"), "doc_id", {"train": 0.65, "dev": 0.10, "test": 0.25}, 4).select("doc_id", "part")
 
 
-@query("smp_05_shuffle", "SELECT doc_id FROM labels ORDER BY md5(concat(doc_id, '-', 5)), doc_id LIMIT 50")
+@query("smp_05_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY md5(concat(doc_id, '-', 5)), doc_id) AS place FROM labels")
 def smp_05(spark, sf_dir):
-    return table(spark, sf_dir, "labels").select("doc_id").orderBy(*R.ticket("doc_id", 5)).limit(50)
+    return numbered(table(spark, sf_dir, "labels").select("doc_id"), R.ticket("doc_id", 5), "place").select("doc_id", F.col("place").cast("long").alias("place"))
 
 
 @query("smp_06_split", f"SELECT doc_id, CASE WHEN {_U.format(seed=6)} < 0.8 THEN 'train' ELSE 'test' END AS part FROM labels")
@@ -329,12 +328,9 @@ def agg_18(spark, sf_dir):
     return one.unionByName(two, allowMissingColumns=True).select("source", "rating", "lang", "n")
 
 
-@query("srt_01_sorted", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place <= 100")
+@query("srt_01_sorted", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
 def srt_01(spark, sf_dir):
-    top = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
-    from pyspark.sql import Window
-
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("place"))
+    return numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], "place").select("o_orderkey", F.col("place").cast("long").alias("place"))
 
 
 @query("srt_02_top_n", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")

@@ -192,3 +192,19 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_models_reload_and_weigh_terms(spark, tmp_path):
+    from claimloom.operators import models as M
+
+    rows = spark.createDataFrame([(i, ("good fine " if i % 2 else "bad poor ") * 3 + f"word{i % 3} both", i % 2) for i in range(60)], "doc_id long, text string, label int")
+    model = M.fit_pipeline(rows, "svc", features=256)
+    M.save(model, str(tmp_path / "m"))
+    before, after = ({r.doc_id: (r.predicted, round(r.decision, 9)) for r in M.decisions(m, rows).collect()} for m in (model, M.load(str(tmp_path / "m"))))
+    assert before == after and all(p == k % 2 and (d > 0) == bool(k % 2) for k, (p, d) in before.items())
+    weights = M.term_weights(rows, "svc")
+    best = {(r.label, r.term) for r in M.top_terms(weights, 2).collect()}
+    assert best == {(1, "good"), (1, "fine"), (0, "bad"), (0, "poor")}
+    score = {r.term: r.score for r in M.squared(weights).collect()}
+    assert max(score.values()) == 1.0 and score["both"] < 0.01
+    assert {r.term for r in M.term_weights(rows, "l1").filter("abs(weight) >= 1e-5").collect()} <= {"good", "fine", "bad", "poor"}
