@@ -76,9 +76,12 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """(h1, h2, p): 128 bits that stand for a line's text, and its place as one decimal, which hash aggregation can hold."""
-    place = F.expr(f"cast((cast(doc_id as decimal(20,0)) + 9223372036854775808BD) * {_REF}BD + cast(ref as decimal(20,0)) as decimal(38,0))")
-    return lines(docs).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), place.alias("p"))
+    """(h1, h2, doc_id, ref): 128 bits that stand for a line's text, and its place."""
+    return lines(docs).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "doc_id", "ref")
+
+
+#: A line's place as one decimal, which hash aggregation can hold.
+PLACE = f"cast((cast(doc_id as decimal(20,0)) + 9223372036854775808BD) * {_REF}BD + cast(ref as decimal(20,0)) as decimal(38,0))"
 
 
 def doc_of(p: str) -> str:
@@ -236,14 +239,14 @@ def verdicts(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, gone): for each text of a doc_id the lines that go, as (k, equal, doc, line), the last two being the place of their class's first line."""
     every = hashed(docs)
     near = materialise(classes(docs), "line-classes")
-    first = every.groupBy("h1", "h2").agg(F.min("p").alias("first"), F.count("*").alias("times")).join(bounded(near), ["h1", "h2"], "left")
+    first = every.groupBy("h1", "h2").agg(F.min(F.expr(PLACE)).alias("first"), F.count("*").alias("times")).join(bounded(near), ["h1", "h2"], "left")
     first = materialise(first.filter("times > 1 OR class IS NOT NULL"), "line-firsts")
     stays = first.filter("class IS NOT NULL").groupBy("class").agg(F.min("first").alias("stays"))
     named = first.join(bounded(stays), "class", "left").select("h1", "h2", "first", F.coalesce("stays", "first").alias("stays"))
     # a row a distinct line that is repeated or near another: broadcast if few, else the join can split a hot line
-    gone = every.join(bounded(materialise(named, "line-verdicts")), ["h1", "h2"]).filter("p <> stays")
-    entry = F.struct(F.shiftright(F.expr(ref_of("p")), 32).cast("int").alias("k"), (F.col("p") != F.col("first")).alias("equal"), F.expr(doc_of("stays")).alias("doc"), F.shiftright(F.expr(ref_of("stays")), 32).cast("int").alias("line"))
-    per = gone.select(F.expr(doc_of("p")).alias("doc_id"), F.expr(f"{ref_of('p')} & 4294967295").alias("tag"), entry.alias("x"))
+    gone = every.join(bounded(materialise(named, "line-verdicts")), ["h1", "h2"]).withColumn("p", F.expr(PLACE)).filter("p <> stays")
+    entry = F.struct(F.shiftright("ref", 32).cast("int").alias("k"), (F.col("p") != F.col("first")).alias("equal"), F.expr(doc_of("stays")).alias("doc"), F.shiftright(F.expr(ref_of("stays")), 32).cast("int").alias("line"))
+    per = gone.select("doc_id", F.expr("ref & 4294967295").alias("tag"), entry.alias("x"))
     return materialise(per.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("x")).alias("gone")), "line-gone")
 
 
