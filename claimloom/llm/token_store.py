@@ -198,7 +198,8 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int | None = END_ID, s
                 {"shard": [shard], "name": [name], "n_docs": [writer.docs], "n_tokens": [writer.total], "n_bytes": [n_bytes]},
             )
 
-    dealt = texts(docs).repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    by = ["doc_id", F.xxhash64("text").alias("_h")]  # the hash splits a doc_id that many rows have
+    dealt = texts(docs).repartitionByRange(shards or partitions(spark), *by).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return materialise(dealt.mapInArrow(encode, "shard long, name string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
 
 
