@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
@@ -51,16 +51,16 @@ def first_citations(rows: DataFrame, url: str, is_first: str) -> DataFrame:
 
 
 def funnel(rows: DataFrame, text: str, keys: list[str], order: str) -> DataFrame:
-    """AGG-12: how many rows each step of cleaning takes, in one pass over the rows without duplicates."""
-    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    once = F.col("_r") == 1
+    """AGG-12: how many rows each step of cleaning takes; a row a group of duplicates is looked at."""
+    first = [] if text in keys else [F.min_by(text, order).alias(text)]
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *first)
     long_enough, short_enough = F.size(T.words(text)) > 40, F.length(text) < 30000
     bad, plain = boilerplate(text), T.is_ascii(text)
-    count = lambda *c: F.count_if(reduce(lambda a, b: a & b, (once, *c)))
-    return numbered.agg(
-        F.count("*").alias("with_duplicates"),
-        count().alias("without_duplicates"),
-        F.count_if(~once).alias("duplicates"),
+    count = lambda *c: F.count_if(reduce(lambda a, b: a & b, c))
+    return groups.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("with_duplicates"),
+        F.count("*").alias("without_duplicates"),
+        (F.coalesce(F.sum("_n"), F.lit(0)) - F.count("*")).alias("duplicates"),
         count(~long_enough).alias("short_text"),
         count(long_enough, ~short_enough).alias("long_text"),
         count(long_enough, short_enough, bad).alias("unwanted_text"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.storage import shared_folder
+
 
 def nb_fit(counts: DataFrame, labels: DataFrame, alpha: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """MDL-03: multinomial Bayes over (doc_id, term, tf): (label, term, logp) of seen pairs, (label, prior, unseen)."""
@@ -73,8 +74,7 @@ def fit_pipeline(train: DataFrame, kind: str = "svc", features: int = 1 << 14, *
 
 def model_path(spark, name: str) -> str:
     """A fresh place for a model: in the folder that driver and executors share, where the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='claimloom-')}"
-    return f"{base.rstrip('/')}/claimloom-models/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/claimloom-models/{name}-{uuid.uuid4().hex}"
 
 
 def save(model, path: str) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.numbering import numbered_within
+
 #: Label maps by data set (fixed values): binary, then fine.
 BINARY = {
     "liar": {"true": 0, "mostly-true": 0, "half-true": 0, "barely-true": 1, "false": 1, "pants-fire": 1},
@@ -41,7 +43,7 @@ def recode(c, mapping: dict, strict: bool = False) -> Column:
 def codes(rows: DataFrame, label: str) -> DataFrame:
     """LBL-02: codes in alphabetical order of the labels, ranked over the distinct labels alone."""
     ranked = rows.select(label).distinct().withColumn("code", (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
-    return rows.join(F.broadcast(ranked), label)  # a row a class
+    return rows.join(ranked, label)  # broadcast only if Spark finds it small
 
 
 def one_hot(c: Column, n: int, first: int = 0) -> Column:
@@ -64,15 +66,20 @@ def argmax(p: Column) -> Column:
     return F.array_position(p, F.array_max(p))
 
 
-def keep_first(rows: DataFrame, keys: list[str], *order) -> DataFrame:
-    """DED-02, DED-04: of rows that agree in ``keys`` the first by ``order``."""
-    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return numbered.filter("_r = 1").drop("_r")
+def keep_first(rows: DataFrame, keys: list[str], *order: str, last: bool = False) -> DataFrame:
+    """DED-02, DED-04: of rows that agree in ``keys`` the first by ``order``, or the last; nulls come first.
+
+    Each task keeps a row a key before the shuffle, so a text of many rows is no burden.
+    """
+    others = [c for c in rows.columns if c not in keys]
+    pick = (F.max_by if last else F.min_by)(F.struct(*[F.col(f"`{c}`") for c in others]), F.struct(*order))
+    best = rows.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(pick.alias("_best"))
+    return best.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_best.`{c}`").alias(c) for c in rows.columns])
 
 
-def keep_first_but(rows: DataFrame, ignored: list[str], *order) -> DataFrame:
+def keep_first_but(rows: DataFrame, ignored: list[str], *order: str, last: bool = False) -> DataFrame:
     """DED-03: of rows that agree in all columns but some."""
-    return keep_first(rows, [c for c in rows.columns if c not in ignored], *order)
+    return keep_first(rows, [c for c in rows.columns if c not in ignored], *order, last=last)
 
 
 def without_overlap(test: DataFrame, train: DataFrame, key: Column) -> DataFrame:
@@ -88,11 +95,10 @@ def ticket(key: str, seed: int) -> list[Column]:
 
 def balance(rows: DataFrame, label: str, key: str, n: int | None, discard: tuple = (), seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """SMP-01: (balanced, remaining).  ``n`` rows of each class, repeated if it has fewer (``copy`` counts them); all if n is None."""
-    by_class = Window.partitionBy(label)
     kept = rows.filter(~F.col(label).isin(*discard)) if discard else rows
-    numbered = kept.withColumn("_r", F.row_number().over(by_class.orderBy(*ticket(key, seed)))).withColumn("_f", F.count("*").over(by_class))
     if n is None:
-        return numbered.drop("_r", "_f").withColumn("copy", F.lit(0)), rows.limit(0)
+        return kept.withColumn("copy", F.lit(0)), rows.limit(0)
+    numbered = numbered_within(kept, [label], ticket(key, seed))
     copies = F.when(F.col("_f") >= n, (F.col("_r") <= n).cast("int")).otherwise(F.floor((n - F.col("_r")) / F.col("_f")).cast("int") + 1)
     chosen = numbered.withColumn("_c", copies).filter("_c > 0")
     balanced = chosen.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).drop("_r", "_f", "_c")
@@ -101,12 +107,12 @@ def balance(rows: DataFrame, label: str, key: str, n: int | None, discard: tuple
 
 def split_ranges(rows: DataFrame, label: str, key: str, sizes: dict[str, int], seed: int = 0) -> DataFrame:
     """SMP-02: so many rows a class for each part in turn."""
-    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(*ticket(key, seed))))
+    numbered = numbered_within(rows, [label], ticket(key, seed))
     part, low = F.lit(None).cast("string"), 0
     for name, n in sizes.items():
         part = F.when((F.col("_r") > low) & (F.col("_r") <= low + n), name).otherwise(part)
         low += n
-    return numbered.withColumn("part", part).filter("part IS NOT NULL").drop("_r")
+    return numbered.withColumn("part", part).filter("part IS NOT NULL").drop("_r", "_f")
 
 
 def split_fractions(rows: DataFrame, key: str, fractions: dict[str, float], seed: int = 0) -> DataFrame:
@@ -120,5 +126,9 @@ def split_fractions(rows: DataFrame, key: str, fractions: dict[str, float], seed
 
 
 def folds(rows: DataFrame, label: str, order: str, k: int = 3) -> DataFrame:
-    """SMP-07: contiguous blocks of each class."""
-    return rows.withColumn("fold", F.ntile(k).over(Window.partitionBy(label).orderBy(order)))
+    """SMP-07: contiguous blocks of each class, the first ones a row longer where ``k`` does not divide it."""
+    numbered = numbered_within(rows, [label], [order])
+    size, over = F.floor(F.col("_f") / k), F.col("_f") % k
+    longer = over * (size + 1)  # rows in the longer blocks
+    fold = F.when(F.col("_r") <= longer, F.ceil(F.col("_r") / (size + 1))).otherwise(over + F.ceil(F.try_divide(F.col("_r") - longer, size)))
+    return numbered.withColumn("fold", fold.cast("int")).drop("_r", "_f")

@@ -425,12 +425,11 @@ def mdl_14(spark, sf_dir):
 
 @query("src_26_corpora", "WITH a AS (SELECT doc_id, source FROM documents WHERE source IN ('src0', 'src1') ) SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat(doc_id, '-', 26)), doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM a) WHERE r <= ceil(n * 0.5)")
 def src_26(spark, sf_dir):
-    from pyspark.sql import Window
+    from claimloom.operators.numbering import numbered_within
 
-    w = Window.partitionBy("source")
     rows = table(spark, sf_dir, "documents").filter(F.col("source").isin("src0", "src1")).select("source", "doc_id")
-    rows = rows.withColumn("_r", F.row_number().over(w.orderBy(*R.ticket("doc_id", 26)))).withColumn("_n", F.count("*").over(w))
-    return rows.filter(F.col("_r") <= F.ceil(F.col("_n") * 0.5)).select("source", "doc_id")
+    rows = numbered_within(rows, ["source"], R.ticket("doc_id", 26))
+    return rows.filter(F.col("_r") <= F.ceil(F.col("_f") * 0.5)).select("source", "doc_id")
 
 
 @query("src_27_labelled_sources", "SELECT doc_id, 0 AS label FROM documents WHERE source = 'src0' UNION ALL SELECT doc_id, 1 FROM documents WHERE source = 'src1'")

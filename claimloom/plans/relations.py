@@ -69,14 +69,14 @@ def ded_02(spark, sf_dir):
 
 @query("ded_03_keep_last_but", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text, lang, n_chars ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1")
 def ded_03(spark, sf_dir):
-    return R.keep_first_but(table(spark, sf_dir, "documents"), ["doc_id", "source"], F.desc("doc_id")).select("doc_id")
+    return R.keep_first_but(table(spark, sf_dir, "documents"), ["doc_id", "source"], "doc_id", last=True).select("doc_id")
 
 
 @query("ded_04_checked_wins", "SELECT doc_id, checked FROM (SELECT d.doc_id, l.doc_id IS NOT NULL AS checked, row_number() OVER (PARTITION BY text ORDER BY l.doc_id IS NOT NULL DESC, d.doc_id DESC) AS r FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) WHERE r = 1")
 def ded_04(spark, sf_dir):
     seen = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("checked"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text").join(seen, "doc_id", "left").withColumn("checked", F.coalesce("checked", F.lit(False)))
-    return R.keep_first(d, ["text"], F.desc("checked"), F.desc("doc_id")).select("doc_id", "checked")
+    return R.keep_first(d, ["text"], "checked", "doc_id", last=True).select("doc_id", "checked")
 
 
 _CLAIM = r"lower(regexp_replace(regexp_replace({}, '[^0-9A-Za-z\s]', '', 'g'), '^\s+|\s+$', '', 'g'))"
@@ -168,22 +168,22 @@ _NUMBERED = CLASSED + ", n AS (SELECT doc_id, label, row_number() OVER (PARTITIO
 
 @query("smp_01_balance", f"WITH {_NUMBERED.format(seed=1)} SELECT doc_id, label, CAST(c AS INTEGER) AS copy FROM (SELECT *, unnest(range(0, CASE WHEN f >= 100 THEN CASE WHEN r <= 100 THEN 1 ELSE 0 END ELSE (100 - r) // f + 1 END)) AS c FROM n WHERE r <= 100)")
 def smp_01(spark, sf_dir):
-    return R.balance(classed(spark, sf_dir), "label", "doc_id", 100, seed=1)[0].select("doc_id", "label", "copy")
+    return R.balance(classed(spark, sf_dir).select("doc_id", "label"), "label", "doc_id", 100, seed=1)[0].select("doc_id", "label", "copy")
 
 
 @query("smp_01_remaining", f"WITH {_NUMBERED.format(seed=1)} SELECT doc_id, label FROM n WHERE r > 100")
 def smp_01_remaining(spark, sf_dir):
-    return R.balance(classed(spark, sf_dir), "label", "doc_id", 100, seed=1)[1].select("doc_id", "label")
+    return R.balance(classed(spark, sf_dir).select("doc_id", "label"), "label", "doc_id", 100, seed=1)[1].select("doc_id", "label")
 
 
 @query("smp_02_chained", f"WITH {_NUMBERED.format(seed=2)} SELECT doc_id, label, CASE WHEN r <= 10 THEN 'test' WHEN r <= 20 THEN 'valid' ELSE 'train' END AS part FROM n WHERE r <= 50")
 def smp_02(spark, sf_dir):
-    return R.split_ranges(classed(spark, sf_dir), "label", "doc_id", {"test": 10, "valid": 10, "train": 30}, 2).select("doc_id", "label", "part")
+    return R.split_ranges(classed(spark, sf_dir).select("doc_id", "label"), "label", "doc_id", {"test": 10, "valid": 10, "train": 30}, 2).select("doc_id", "label", "part")
 
 
 @query("smp_03_upsample", f"WITH {_NUMBERED.format(seed=3)}, m AS (SELECT max(f) AS m FROM n) SELECT label, count(*) AS n FROM (SELECT label, unnest(range(0, (m.m - r) // f + 1)) FROM n, m) GROUP BY label")
 def smp_03(spark, sf_dir):
-    rows = classed(spark, sf_dir)
+    rows = classed(spark, sf_dir).select("doc_id", "label")
     most = rows.groupBy("label").count().agg(F.max("count")).first()[0]  # one number
     return R.balance(rows, "label", "doc_id", most, seed=3)[0].groupBy("label").agg(F.count("*").alias("n"))
 
@@ -208,7 +208,7 @@ def smp_06(spark, sf_dir):
 
 @query("smp_07_kfold", f"WITH {CLASSED} SELECT doc_id, CAST(ntile(3) OVER (PARTITION BY label ORDER BY doc_id) AS INTEGER) AS fold FROM classed")
 def smp_07(spark, sf_dir):
-    return R.folds(classed(spark, sf_dir), "label", "doc_id", 3).select("doc_id", "fold")
+    return R.folds(classed(spark, sf_dir).select("doc_id", "label"), "label", "doc_id", 3).select("doc_id", "fold")
 
 
 @query("smp_08_per_source", f"WITH {CLASSED}, n AS (SELECT doc_id, source, label, row_number() OVER (PARTITION BY source, label ORDER BY md5(concat(doc_id, '-', 8)), doc_id) AS r FROM classed) SELECT doc_id, source, label FROM n WHERE r <= CASE source WHEN 'src0' THEN 4 WHEN 'src1' THEN 2 ELSE 0 END")
@@ -218,7 +218,8 @@ def smp_08(spark, sf_dir):
 
     rows = classed(spark, sf_dir).join(F.broadcast(sizes), "source")  # a row a source that is asked for
     r = F.row_number().over(Window.partitionBy("source", "label").orderBy(*R.ticket("doc_id", 8)))
-    return rows.withColumn("_r", r).filter("_r <= size").select("doc_id", "source", "label")
+    top = rows.withColumn("_r", r).filter("_r <= 4")  # the largest size, told: each task keeps so many before the shuffle
+    return top.filter("_r <= size").select("doc_id", "source", "label")
 
 
 @query("agg_01_value_counts", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")

@@ -51,7 +51,7 @@ def corpus(spark: SparkSession, name: str, path: str, classes: int = 2, strict:
     if name == "emergent":
         rows = rows.withColumn("_o", F.monotonically_increasing_id())
         ignored = [x for x in ("_o", "articleId", "articleVersion", "articleVersionId", "articleUrl", "articleByline") if x in rows.columns]
-        rows = R.keep_first_but(rows, ignored, F.desc("_o")).drop("_o")
+        rows = R.keep_first_but(rows, ignored, "_o", last=True).drop("_o")
         rows = rows.filter(F.col("articleBody").isNotNull() & (F.col("articleBody") != "") & (F.col("articleStance") == "for"))
     if c["label"] is None:
         label = F.lit(1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import text as T
 from claimloom.functions import web as W
 from claimloom.operators import crosstab, enrich, evaluate, features, filters, relational
-from claimloom.operators.numbering import numbered
+from claimloom.operators.numbering import numbered, numbered_within
 from claimloom.sources import readers
 from claimloom.streaming import incremental
 
@@ -208,3 +208,37 @@ def test_models_reload_and_weigh_terms(spark, tmp_path):
     score = {r.term: r.score for r in M.squared(weights).collect()}
     assert max(score.values()) == 1.0 and score["both"] < 0.01
     assert {r.term for r in M.term_weights(rows, "l1").filter("abs(weight) >= 1e-5").collect()} <= {"good", "fine", "bad", "poor"}
+
+
+def test_numbers_stay_whole_where_rows_are_wide(spark, tmp_path):
+    """The ranges' bounds come from a sample: counting and numbering must see the same ones."""
+    path = str(tmp_path / "wide")
+    spark.range(0, 300_000, 1, 3).selectExpr("id", "xxhash64(id) AS h", "cast(id AS string) AS a", "id * 3 AS b").write.parquet(path)
+    numbered(spark.read.parquet(path), ["h", "id"]).select("a", "b", "h", "row_id").write.parquet(path + "-numbered")  # all columns are read
+    got = spark.read.parquet(path + "-numbered")
+    n, distinct, least, most = got.selectExpr("count(*)", "count(distinct row_id)", "min(row_id)", "max(row_id)").first()
+    assert (n, distinct, least, most) == (300_000, 300_000, 1, 300_000) and got.selectExpr("sum(b)").first()[0] == 3 * sum(range(300_000))
+
+
+def test_numbers_within_groups(spark):
+    rows = [(None if k % 7 == 0 else "hot" if k % 3 else f"g{k % 5}", k) for k in range(500)]
+    got = numbered_within(spark.createDataFrame(rows, "g string, k long"), ["g"], [F.desc("k")]).collect()
+    for g in {g for g, _ in rows}:
+        mine = sorted((k for x, k in rows if x == g), reverse=True)
+        assert sorted((r._r, r.k, r._f) for r in got if r.g == g) == [(i + 1, k, len(mine)) for i, k in enumerate(mine)]
+    empty = numbered_within(spark.createDataFrame([], "g string, k long"), ["g"], ["k"])
+    assert empty.columns == ["g", "k", "_r", "_f"] and empty.count() == 0
+
+
+def test_folds_are_contiguous_blocks(spark):
+    for n, sizes in ((10, [4, 3, 3]), (2, [1, 1]), (9, [3, 3, 3])):
+        got = relational.folds(spark.createDataFrame([("x", k) for k in range(n)], "label string, k long"), "label", "k", 3).orderBy("k").collect()
+        assert [r.fold for r in got] == [f + 1 for f, m in enumerate(sizes) for _ in range(m)]
+
+
+def test_keep_first_of_nulls_and_ties(spark):
+    rows = [("a", None, 1, 5), ("a", 3, 2, 6), (None, 2, 3, 7), (None, 2, 4, 8)]
+    d = spark.createDataFrame(rows, "key string, o long, id long, `a.b` long")
+    pick = lambda **how: sorted(r.id for r in relational.keep_first(d, ["key"], "o", "id", **how).collect())
+    assert pick() == [1, 3] and pick(last=True) == [2, 4]
+    assert relational.keep_first(d, ["key"], "o", "id").columns == d.columns
