@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,6 +188,26 @@ def union_weighted(blocks: dict[str, tuple[DataFrame, float]]) -> DataFrame:
     return out
 
 
+def ensemble(blocks: dict[str, DataFrame]) -> DataFrame:
+    """FEA-13, FEA-14: (doc_id, feature, value) of all blocks side by side, without documents on which a block failed.
+
+    A block fails on a document by a null value or by no row.
+    """
+    parts = [rows.select("doc_id", F.lit(name).alias("_block"), F.concat(F.lit(f"{name}:"), F.col("feature").cast("string")).alias("feature"), "value") for name, rows in blocks.items()]
+    every = reduce(DataFrame.unionByName, parts)
+    whole = every.groupBy("doc_id").agg(F.count_distinct("_block").alias("_b"), F.count_if(F.col("value").isNull()).alias("_failed"))
+    whole = whole.filter((F.col("_b") == len(blocks)) & (F.col("_failed") == 0))
+    return every.drop("_block").join(whole.select("doc_id"), "doc_id", "left_semi")
+
+
+def with_unknown(terms: DataFrame, vectors: DataFrame, dims: int, seed: int = 0) -> DataFrame:
+    """JON-09: (term, known, vector) of each term; one without a vector gets numbers in [-1, 1) from a hash of term, place and seed."""
+    part = lambda i: F.substring(F.md5(F.concat_ws("-", "term", i.cast("string"), F.lit(str(seed)))), 1, 8)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(part(i), 16, 10).cast("double") / float(1 << 31) - 1)
+    joined = terms.select("term").join(vectors.select("term", "vector"), "term", "left")
+    return joined.select("term", F.col("vector").isNotNull().alias("known"), F.coalesce(F.col("vector").cast("array<double>"), drawn).alias("vector"))
+
+
 def unpivoted(rows: DataFrame, features: dict[str, Column]) -> DataFrame:
     """(doc_id, feature, value) of Column features."""
     each = F.array(*[F.struct(F.lit(k).alias("feature"), v.cast("double").alias("value")) for k, v in features.items()])

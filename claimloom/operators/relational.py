@@ -105,9 +105,15 @@ def balance(rows: DataFrame, label: str, key: str, n: int | None, discard: tuple
     return balanced, rows.join(chosen.select(key), key, "left_anti")
 
 
-def split_ranges(rows: DataFrame, label: str, key: str, sizes: dict[str, int], seed: int = 0) -> DataFrame:
-    """SMP-02: so many rows a class for each part in turn."""
-    numbered = numbered_within(rows, [label], ticket(key, seed))
+def other_columns(a: DataFrame, b: DataFrame) -> list[str]:
+    """SET-04: the names of ``a``'s columns that ``b`` lacks."""
+    return [c for c in a.columns if c not in b.columns]
+
+
+def split_ranges(rows: DataFrame, label: str, key: str, sizes: dict[str, int], seed: int = 0, discard: tuple = ()) -> DataFrame:
+    """SMP-02, SMP-09: so many rows a class for each part in turn, none of the classes ``discard``."""
+    kept = rows.filter(~F.col(label).isin(*discard)) if discard else rows
+    numbered = numbered_within(kept, [label], ticket(key, seed))
     part, low = F.lit(None).cast("string"), 0
     for name, n in sizes.items():
         part = F.when((F.col("_r") > low) & (F.col("_r") <= low + n), name).otherwise(part)

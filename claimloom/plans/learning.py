@@ -174,6 +174,19 @@ def fea_11(spark, sf_dir):
     return X.embedding_sum(d, vectors).select("doc_id", "dim", F.round("value", 6).alias("value"))
 
 
+_DRAWN = "CAST('0x' || substring(md5(concat_ws('-', term, i, '9')), 1, 8) AS BIGINT) / 2147483648.0 - 1"
+
+
+@query("jon_09_oov", f"WITH v AS (SELECT term, embedding FROM (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT DISTINCT unnest({_TERMS}) AS term FROM documents)) LEFT JOIN embeddings ON vec_id = id AND id % 3 <> 0) SELECT term, embedding IS NOT NULL AS known, round(sum(coalesce(embedding[i + 1]::DOUBLE, {_DRAWN})), 5) AS total FROM v, (SELECT unnest(range(64)) AS i) GROUP BY ALL")
+def jon_09(spark, sf_dir):
+    from claimloom.operators.numbering import numbered
+
+    ids = numbered(X.exploded(docs(spark, sf_dir), X.terms("text")).select("term").distinct(), "term").withColumn("vec_id", F.col("row_id") - 1)
+    vectors = ids.filter("vec_id % 3 <> 0").join(table(spark, sf_dir, "embeddings"), "vec_id").select("term", F.col("embedding").alias("vector"))  # every third term is unknown
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return X.with_unknown(ids, vectors, 64, 9).select("term", "known", F.round(total, 5).alias("total"))
+
+
 _IDF = f"counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM {{source}}) GROUP BY ALL), idf AS (SELECT term, ln((1 + (SELECT count(*) FROM {{source}})) / (1 + count(*))) + 1 AS idf, count(*) AS df FROM counts GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.5 * (SELECT count(*) FROM {{source}})), raw AS (SELECT doc_id, c.term, (1 + ln(tf)) * idf AS w FROM counts c JOIN idf ON idf.term = c.term), weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"
 
 
@@ -259,6 +272,19 @@ def sel_06(spark, sf_dir):
     return means.join(X.f_scores(values, labels).withColumn("f", F.round("f", 4)), "feature")
 
 
+@query("srt_04_ranked", _FSCORE + ", r AS (SELECT feature, round(r * r * (n - 2) / (1 - r * r), 4) AS f FROM a) SELECT feature, f, row_number() OVER (ORDER BY f DESC NULLS LAST, feature) AS place FROM r")
+def srt_04(spark, sf_dir):
+    from claimloom.operators.numbering import numbered
+
+    return numbered(sel_02(spark, sf_dir), [F.desc("f"), "feature"], "place").select("feature", "f", F.col("place").cast("long").alias("place"))
+
+
+@query("fea_13_ensemble", f"WITH {CLASSED}, v AS ({_SURF}), t AS (SELECT doc_id, {_TOKENS} AS t FROM classed), e AS (SELECT doc_id, 1 AS block, 'surface:' || feature AS feature, value FROM v UNION ALL SELECT doc_id, 2, 'lexicon:' || feature, value FROM ({_LEX})), whole AS (SELECT doc_id FROM e GROUP BY doc_id HAVING count(DISTINCT block) = 2 AND count(*) = count(value)) SELECT doc_id, feature, round(value, 6) AS value FROM e JOIN whole USING (doc_id)")
+def fea_13(spark, sf_dir):
+    rows = classed(spark, sf_dir)
+    return X.ensemble({"surface": _surface_values(rows), "lexicon": X.lexicon_ratios(rows)}).select("doc_id", "feature", F.round("value", 6).alias("value"))
+
+
 @query("fea_15_union", f"WITH {CLASSED}, v AS ({_SURF}), t AS (SELECT doc_id, {_TOKENS} AS t FROM classed) SELECT doc_id, 'surface:' || feature AS feature, round(value * 0.5, 6) AS value FROM v UNION ALL SELECT doc_id, 'lexicon:' || feature, round(value * 2, 6) FROM ({_LEX})")
 def fea_15(spark, sf_dir):
     rows = classed(spark, sf_dir)
@@ -295,6 +321,27 @@ def mdl_03(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", "label", "predicted", F.round("score", 3).alias("score"))
 
 
+_BERNOULLI = f"""WITH {CLASSED}, c AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM classed)),
+ train AS (SELECT doc_id, label FROM classed WHERE doc_id % 5 <> 0), test AS (SELECT doc_id, label FROM classed WHERE doc_id % 5 = 0),
+ cls AS (SELECT label, count(*) AS docs, ln(count(*) / (SELECT count(*) FROM train)) AS prior FROM train GROUP BY label),
+ held AS (SELECT label, term, count(*) AS n FROM c JOIN train USING (doc_id) GROUP BY ALL), vocab AS (SELECT DISTINCT term FROM held),
+ lp AS (SELECT cls.label, vocab.term, (coalesce(n, 0) + 0.01::DOUBLE) / (docs + 0.02::DOUBLE) AS p FROM cls CROSS JOIN vocab LEFT JOIN held ON held.label = cls.label AND held.term = vocab.term),
+ base AS (SELECT label, sum(ln(1 - p)) AS none FROM lp GROUP BY label),
+ s AS (SELECT test.doc_id, cls.label, any_value(prior + none) + coalesce(sum(ln(x.p) - ln(1 - x.p)), 0) AS score FROM test CROSS JOIN cls JOIN base ON base.label = cls.label LEFT JOIN (SELECT doc_id, lp.label, p FROM c JOIN lp ON lp.term = c.term) x ON x.doc_id = test.doc_id AND x.label = cls.label GROUP BY test.doc_id, cls.label)
+ SELECT test.doc_id, test.label, arg_max(s.label, (round(s.score, 9), -s.label)) AS predicted, round(max(s.score) FILTER (s.label = 1) - max(s.score) FILTER (s.label = 0), 3) AS score FROM s JOIN test ON test.doc_id = s.doc_id GROUP BY test.doc_id, test.label"""
+
+
+@query("mdl_03_bernoulli", _BERNOULLI)
+def mdl_03_bernoulli(spark, sf_dir):
+    rows = classed(spark, sf_dir).select("doc_id", "text", "label")
+    held = X.term_counts(rows).select("doc_id", "term", F.lit(1).alias("tf"))
+    train, test = rows.filter("doc_id % 5 <> 0").select("doc_id", "label"), rows.filter("doc_id % 5 = 0").select("doc_id", "label")
+    seen = held.join(train.select("doc_id"), "doc_id", "left_semi")
+    scores = M.nb_score(held.join(test.select("doc_id"), "doc_id", "left_semi"), test, M.bernoulli_fit(seen, train), seen.select("term").distinct())
+    margin = scores.groupBy("doc_id").agg(F.round(F.sum(F.when(F.col("label") == 1, F.col("score")).otherwise(-F.col("score"))), 3).alias("score"))
+    return test.join(M.best_class(scores), "doc_id").join(margin, "doc_id")
+
+
 @query("evl_01_confusion", _NB + " SELECT label, predicted, count(*) AS n FROM scored GROUP BY ALL")
 def evl_01(spark, sf_dir):
     return E.confusion(_scored(spark, sf_dir))
@@ -415,12 +462,18 @@ def mdl_11(spark, sf_dir):
     return M.topics(rows).transform(rows).select("doc_id", vector_to_array("topicDistribution").alias("topics"))
 
 
+@query("mdl_12_pooled_topics")
+def mdl_12(spark, sf_dir):
+    rows = classed(spark, sf_dir).select("text", "label").filter("text IS NOT NULL")
+    return M.pooled_topics(M.topics(rows), rows, "label")
+
+
 @query("mdl_14_cross_validation")
 def mdl_14(spark, sf_dir):
     rows = R.folds(classed(spark, sf_dir).select("doc_id", "text", "label"), "label", "doc_id").persist()
     scores = M.cross_validate(rows, "logistic")
     rows.unpersist()
-    return spark.createDataFrame([(k + 1, v) for k, v in enumerate(scores)], "fold int, accuracy double")
+    return spark.createDataFrame([(k + 1, *v) for k, v in enumerate(scores)], "fold int, train_accuracy double, accuracy double")
 
 
 @query("src_26_corpora", "WITH a AS (SELECT doc_id, source FROM documents WHERE source IN ('src0', 'src1') ) SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat(doc_id, '-', 26)), doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM a) WHERE r <= ceil(n * 0.5)")

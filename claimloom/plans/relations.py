@@ -110,6 +110,12 @@ def set_04(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").intersect(table(spark, sf_dir, "labels").select("doc_id"))
 
 
+@query("set_04_columns", "SELECT column_name AS name FROM (DESCRIBE documents) WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE labels))")
+def set_04_columns(spark, sf_dir):
+    names = R.other_columns(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return spark.createDataFrame([(c,) for c in names], "name string")
+
+
 for _name, _maps in (("binary", R.BINARY), ("fine", R.FINE)):
     for _set in ("snopes", "combined"):
 
@@ -222,6 +228,12 @@ def smp_08(spark, sf_dir):
     return top.filter("_r <= size").select("doc_id", "source", "label")
 
 
+@query("smp_09_discard", "SELECT doc_id, label, CASE WHEN r <= 10 THEN 'test' WHEN r <= 20 THEN 'dev' ELSE 'train' END AS part FROM (SELECT doc_id, doc_id % 8 AS label, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY md5(concat(doc_id, '-', 9)), doc_id) AS r FROM labels WHERE doc_id % 8 NOT IN (6, 7)) WHERE r <= 50")
+def smp_09(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 8).alias("label"))
+    return R.split_ranges(rows, "label", "doc_id", {"test": 10, "dev": 10, "train": 30}, 9, (6, 7)).select("doc_id", "label", "part")
+
+
 @query("agg_01_value_counts", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def agg_01(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))

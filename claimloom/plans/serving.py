@@ -96,6 +96,25 @@ def api_01(spark, sf_dir):
     return model.transform(rows).select("doc_id", F.col("prediction").cast("int").alias("label"), vector_to_array("probability").alias("confidence"))
 
 
+#: The axes of the four-way chart by code (fixed values).
+GENERA = ("Trusted", "Propaganda", "Satire", "Hoax")
+
+
+@query("api_01_genera")
+def api_01_genera(spark, sf_dir):
+    """API-01: the four-way answer to every document: label, its name, the confidence of each axis."""
+    from pyspark.ml.functions import vector_to_array
+
+    from claimloom.operators.models import fit_pipeline
+
+    code = F.col("toxic") * 2 + F.when(F.col("quality") == 1, 0).otherwise(1)  # four classes of the tables at hand
+    model = fit_pipeline(articles(spark, sf_dir).select("text", code.cast("int").alias("label")).filter("text IS NOT NULL AND label IS NOT NULL"), "logistic")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(T.clean_str(T.ascii_only(W.get_text("text"))), F.lit("")).alias("text"))
+    scored = model.transform(rows).select("doc_id", F.col("prediction").cast("int").alias("label"), vector_to_array("probability").alias("confidence"))
+    axes = F.array(*[F.lit(g) for g in GENERA])
+    return scored.select("doc_id", "label", F.get(axes, F.col("label")).alias("name"), F.arrays_zip(axes.alias("axis"), F.col("confidence").alias("value")).alias("confidence"))
+
+
 @query("api_04_extract", f"SELECT page_id, {_HOST} AS site, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages")
 def api_04(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", W.netloc("url").alias("site"), W.inner("html", "title").alias("title"))

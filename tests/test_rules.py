@@ -242,3 +242,35 @@ def test_keep_first_of_nulls_and_ties(spark):
     pick = lambda **how: sorted(r.id for r in relational.keep_first(d, ["key"], "o", "id", **how).collect())
     assert pick() == [1, 3] and pick(last=True) == [2, 4]
     assert relational.keep_first(d, ["key"], "o", "id").columns == d.columns
+
+
+def test_ensemble_drops_documents_on_which_a_block_fails(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, feature string, value double")
+    a, b = frame([(1, "x", 1.0), (2, "x", None), (3, "x", 3.0)]), frame([(1, "x", 4.0), (2, "x", 5.0)])
+    assert sorted(tuple(r) for r in features.ensemble({"a": a, "b": b}).collect()) == [(1, "a:x", 1.0), (1, "b:x", 4.0)]
+
+
+def test_unknown_terms_get_numbers_that_stay(spark):
+    terms, vectors = spark.createDataFrame([("a",), ("b",), ("c",)], "term string"), spark.createDataFrame([("a", [1.0, 2.0])], "term string, vector array<float>")
+    got = {r.term: (r.known, r.vector) for r in features.with_unknown(terms, vectors, 2).collect()}
+    assert got["a"] == (True, [1.0, 2.0]) and not got["b"][0] and got["b"][1] != got["c"][1]
+    assert all(-1 <= x < 1 for t in "bc" for x in got[t][1])
+    assert got == {r.term: (r.known, r.vector) for r in features.with_unknown(terms.repartition(3), vectors, 2).collect()}
+
+
+def test_four_way_answers(spark, sf_dir):
+    from claimloom.plans import catalog
+
+    rows = catalog.QUERIES["api_01_genera"](spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    for r in rows:
+        assert [c.axis for c in r.confidence] == ["Trusted", "Propaganda", "Satire", "Hoax"]
+        values = [c.value for c in r.confidence]
+        assert abs(sum(values) - 1) < 1e-6 and values[r.label] == max(values) and r.confidence[r.label].axis == r.name
+
+
+def test_pooled_topics_are_shares(spark, sf_dir):
+    from claimloom.plans import catalog
+
+    rows = catalog.QUERIES["mdl_12_pooled_topics"](spark, sf_dir).collect()
+    assert sorted(r.label for r in rows) == [0, 1] and all(abs(sum(r.topics) - 1) < 1e-6 for r in rows)
