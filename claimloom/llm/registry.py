@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from claimloom.llm import ann, line_dedup, mixing, packing, pii, quality, simhash, suffix_dedup, token_store, toxicity
+from claimloom.llm import ann, bpe, conversations, line_dedup, merkle, mixing, packing, pii, quality, simhash, suffix_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,13 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_conversation_trie": conversations.op13_conversation_trie,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.OP1_SQL}
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
+    "op13_conversation_trie": conversations.OP13_SQL,
+}
