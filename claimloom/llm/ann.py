@@ -136,9 +136,10 @@ def _nearest(rows: DataFrame, query: F.Column, k: int, width: int) -> DataFrame:
             ids = left["ids"].to_pylist()
             for at in range(0, len(y), 256):
                 s = (y[at : at + 256] @ x.T) / nx
-                some = min(len(x), 2 * k + 2)
-                top = np.argpartition(-s, some - 1, axis=1)[:, :some]
-                for i, row in enumerate(top, at):
+                some = min(len(x), k + 1)
+                # whatever rounding may have put behind the last of them is looked at exactly, ties included
+                last = -np.partition(-s, some - 1, axis=1)[:, some - 1] - ny[at : at + 256] * (width + 8) * 2.0**-50
+                for i, row in enumerate((np.flatnonzero(r >= least) for r, least in zip(s, last, strict=True)), at):
                     exact = (x[row] * y[i]).sum(axis=1) / (nx[row] * ny[i])
                     every = sorted((-e, v) for e, j in zip(exact.tolist(), row.tolist(), strict=True) for v in ids[j])[: k + 1]
                     out += [(int(q[i]), v, -e) for e, v in every]

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
@@ -100,6 +100,11 @@ def steadily(run: Callable) -> Callable:
     return held
 
 
+def own_column(name: str) -> Column:
+    """A column by its very name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of a documents table, null text as the empty text."""
     return docs.select(

@@ -27,17 +27,17 @@ then line number) stays, the others go.
 Near lines have at least 12 code points; equal lines of any length go.  Lines
 without a word are left alone.  Null text: no lines.  Identical rows are one
 document and keep the same lines; rows that share a doc_id with other texts are
-documents of their own, in the order of a hash.  A null doc_id comes last.  An
+documents of their own, in the order of a hash.  A row without a doc_id is named by its text and comes last.  An
 empty table gives no rows.  Very long lines are lines like others.  Extra
 columns are kept by ``dedup`` and not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialise, partitions, table
+from claimloom.llm.common import materialise, own_column, partitions, table
 from claimloom.llm.components import components
 
 #: (length from which it holds, edits, lengths of a range)
@@ -45,14 +45,21 @@ LEVELS = ((12, 1, 8), (24, 2, 16), (96, 3, 32), (192, 4, 32))
 MIN_CHARS, MAX_EDITS = LEVELS[0][0], LEVELS[-1][1]
 #: Rows that are broadcast at most; beyond, the same join shuffles, with the same result.
 BROADCAST_ROWS = 1_000_000
-NULL_ID = (1 << 63) - 1
 #: Columns of the band that are looked at first; empty characters around a line.
 LOOK, PAD = 24, 2 * MAX_EDITS
-_REF = 1 << 62
+#: A place's line number (31 bits) and 30 bits of its text's hash, as one number.
+_REF, _TAG = 1 << 61, 30
 #: Signs that are counted in a line's first and second half.
 SIGNS = "etaoinsrhldcumfpgwybvk ."
 _COUNTS = [f"{half}{k}" for half in "pq" for k in range(len(SIGNS))]
 _CLASH = "_claimloom_"
+#: What names a text of a doc_id, or of none.
+_WHOSE = ("id", "none", "t1", "t2")
+
+
+def whose(doc_id: Column, text: Column) -> tuple[Column, ...]:
+    """``id`` and ``none``, and 128 bits that stand for the text."""
+    return F.coalesce(doc_id.cast("long"), F.lit(0)), doc_id.isNull(), F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
 def limit(n: str) -> str:
@@ -67,29 +74,33 @@ def bounded(df: DataFrame, weight: str = "1") -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, ref, line): every line with a word; ref holds its number and a hash of its text."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text"))
-    tag = F.expr("pmod(xxhash64(text), 4294967296)")
-    split = rows.select("doc_id", tag.alias("tag"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    """(doc_id, t1, t2, k, line): every line with a word, its number and 128 bits that stand for its text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    split = rows.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
     word = F.expr(r"ascii(ltrim(line)) > 32") | F.col("line").rlike(r"[^\x20\x09-\x0D]")  # the first spares most lines the pattern
-    return split.filter(word).select("doc_id", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("tag")).alias("ref"), "line")
+    return split.filter(word)
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id, ref): 128 bits that stand for a line's text, and its place."""
-    return lines(docs).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "doc_id", "ref")
+    """(h1, h2, doc_id, t1, t2, k): 128 bits that stand for a line, and where it is."""
+    return lines(docs).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "doc_id", "t1", "t2", "k")
 
 
-#: A line's place as one decimal, which hash aggregation can hold.
-PLACE = f"cast((cast(doc_id as decimal(20,0)) + 9223372036854775808BD) * {_REF}BD + cast(ref as decimal(20,0)) as decimal(38,0))"
+#: A line's place as one decimal, which hash aggregation can hold: doc_id (the text's hash and after all others, if null), line number, bits of the text's hash.
+PLACE = (
+    f"cast((cast(coalesce(doc_id, t2) as decimal(20,0)) + if(doc_id IS NULL, {3 << 63}BD, {1 << 63}BD)) * {_REF}BD"
+    f" + cast(shiftleft(cast(k as bigint), {_TAG}) + shiftright(pmod(t1, 4294967296), {32 - _TAG}) as decimal(20,0)) as decimal(38,0))"
+)
 
 
 def doc_of(p: str) -> str:
-    return f"cast(cast((({p}) - pmod({p}, {_REF}BD)) / {_REF}BD as decimal(20,0)) - 9223372036854775808BD as bigint)"
+    """Null for a row without a doc_id."""
+    doc = f"cast((({p}) - pmod({p}, {_REF}BD)) / {_REF}BD as decimal(20,0))"
+    return f"if({p} >= {1 << 64}BD * {_REF}BD, null, cast({doc} - {1 << 63}BD as bigint))"
 
 
-def ref_of(p: str) -> str:
-    return f"cast(pmod({p}, {_REF}BD) as bigint)"
+def line_of(p: str) -> str:
+    return f"cast(shiftright(cast(pmod({p}, {_REF}BD) as bigint), {_TAG}) as int)"
 
 
 def _substrings(k: int) -> list[tuple[int, int]]:
@@ -236,7 +247,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, gone): for each text of a doc_id the lines that go, as (k, equal, doc, line), the last two being the place of their class's first line."""
+    """(id, none, t1, t2, gone): for each text of a doc_id (``none``: of no doc_id) the lines that go, as (k, equal, doc, line), the last two being the place of their class's first line."""
     every = hashed(docs)
     near = materialise(classes(docs), "line-classes")
     first = every.groupBy("h1", "h2").agg(F.min(F.expr(PLACE)).alias("first"), F.count("*").alias("times")).join(bounded(near), ["h1", "h2"], "left")
@@ -245,20 +256,21 @@ def verdicts(docs: DataFrame) -> DataFrame:
     named = first.join(bounded(stays), "class", "left").select("h1", "h2", "first", F.coalesce("stays", "first").alias("stays"))
     # a row a distinct line that is repeated or near another: broadcast if few, else the join can split a hot line
     gone = every.join(bounded(materialise(named, "line-verdicts")), ["h1", "h2"]).withColumn("p", F.expr(PLACE)).filter("p <> stays")
-    entry = F.struct(F.shiftright("ref", 32).cast("int").alias("k"), (F.col("p") != F.col("first")).alias("equal"), F.expr(doc_of("stays")).alias("doc"), F.shiftright(F.expr(ref_of("stays")), 32).cast("int").alias("line"))
-    per = gone.select("doc_id", F.expr("ref & 4294967295").alias("tag"), entry.alias("x"))
-    return materialise(per.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("x")).alias("gone")), "line-gone")
+    entry = F.struct("k", (F.col("p") != F.col("first")).alias("equal"), F.expr(doc_of("stays")).alias("doc"), F.expr(line_of("stays")).alias("line"))
+    per = gone.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "t1", "t2", entry.alias("x"))
+    return materialise(per.groupBy("id", "none", "t1", "t2").agg(F.sort_array(F.collect_set("x")).alias("gone")), "line-gone")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines that go cut out of the text."""
     own = {c: f"{_CLASH}{k}" for k, c in enumerate(docs.columns)}
     text, doc_id = own["text"], own["doc_id"]
-    gone = verdicts(docs).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.transform("gone", lambda x: x.k).alias("_gone"))
-    rows = docs.select(*[F.col(c).alias(v) for c, v in own.items()])
-    rows = rows.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).withColumn("_tag", F.expr(f"pmod(xxhash64({text}), 4294967296)"))
+    gone = verdicts(docs).select(*[F.col(c).alias(f"_{c}") for c in _WHOSE], F.transform("gone", lambda x: x.k).alias("_gone"))
+    rows = docs.select(*[own_column(c).alias(v) for c, v in own.items()])
+    named = dict(zip(_WHOSE, whose(F.col(doc_id), F.col(text)), strict=True))
+    rows = rows.select("*", *[v.alias(f"_{c}") for c, v in named.items()])
     kept = F.expr(f"array_join(transform(filter(transform(split({text}, '\\n'), (x, i) -> named_struct('x', x, 'i', i)), y -> NOT array_contains(_gone, y.i)), y -> y.x), '\\n')")
-    joined = rows.join(bounded(gone, "size(_gone)"), ["_doc", "_tag"], "left")
+    joined = rows.join(bounded(gone, "size(_gone)"), [f"_{c}" for c in _WHOSE], "left")
     return joined.select(*[(F.when(F.col("_gone").isNull(), F.col(v)).otherwise(kept) if c == "text" else F.col(v)).alias(c) for c, v in own.items()])
 
 
@@ -266,16 +278,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those that go for an equal or a near line, their numbers, and the class of each (place of the line that stays)."""
     docs = table(spark, sf_dir, "documents")
     found = verdicts(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.expr("pmod(xxhash64(text), 4294967296)").alias("tag"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n"))
+    named = [v.alias(c) for c, v in zip(_WHOSE, whose(F.col("doc_id"), F.col("text")), strict=True)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *named, F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n"))
     none = F.expr("cast(array() as array<struct<k:int,equal:boolean,doc:bigint,line:int>>)")
-    joined = rows.join(bounded(found, "size(gone)"), ["doc_id", "tag"], "left").withColumn("gone", F.coalesce("gone", none))
+    joined = rows.join(bounded(found, "size(gone)"), list(_WHOSE), "left").withColumn("gone", F.coalesce("gone", none))
     return joined.select(
-        F.col("id").alias("doc_id"),
+        "doc_id",
         F.when(F.col("n") < 0, 0).otherwise(F.col("n")).cast("long").alias("n_lines"),
         F.expr("cast(size(filter(gone, x -> x.equal)) as bigint)").alias("n_equal"),
         F.expr("cast(size(filter(gone, x -> NOT x.equal)) as bigint)").alias("n_near"),
         F.expr("array_join(transform(gone, x -> cast(x.k as string)), ',')").alias("removed_lines"),
-        F.expr(f"array_join(transform(gone, x -> concat(if(x.doc = {NULL_ID}, 'null', cast(x.doc as string)), ':', cast(x.line as string))), ',')").alias("classes"),
+        F.expr(f"array_join(transform(gone, x -> concat(coalesce(cast(x.doc as string), 'null'), ':', cast(x.line as string))), ',')").alias("classes"),
     )
 
 

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialise, table
+from claimloom.llm.common import materialise, own_column, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Weights by a source's rank in code point order, repeating.
@@ -148,7 +148,7 @@ def mix(docs: DataFrame) -> DataFrame:
     gets the k-th of their decisions.
     """
     decided = decide(docs).groupBy("doc_id", "source", "none", "size").agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
-    keyed = docs.select(*[F.col(c).alias(f"_d{k}") for k, c in enumerate(docs.columns)])
+    keyed = docs.select(*[own_column(c).alias(f"_d{k}") for k, c in enumerate(docs.columns)])
     at = {c: f"_d{k}" for k, c in enumerate(docs.columns)}
     keyed = keyed.select(
         *at.values(),

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialise, prepare, steadily, table, texts
+from claimloom.llm.common import materialise, own_column, prepare, steadily, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -248,8 +248,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
         none = lambda x: [] if x is None else x
         return text.combine(spans, lambda t, s: (t, s)).combine(terms, lambda p, w: p[0] if p[0] is None else replacement(p[0], none(p[1]), none(w)))
 
-    joined = docs.withColumn("_key", key("text")).join(found.withColumnRenamed("key", "_key"), "_key", "left")
-    return joined.select(*[replaced("text", "spans", "terms").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    own = {c: "_text" if c == "text" else f"_c{k}" for k, c in enumerate(docs.columns)}  # none that clashes with ours
+    rows = docs.select(*[own_column(c).alias(v) for c, v in own.items()]).withColumn("_key", key("_text"))
+    joined = rows.join(found.select(F.col("key").alias("_key"), F.col("spans").alias("_spans"), F.col("terms").alias("_terms")), "_key", "left")
+    return joined.select(*[replaced("_text", "_spans", "_terms").alias(c) if c == "text" else F.col(v).alias(c) for c, v in own.items()])
 
 
 def _adds(kind: int):

@@ -42,6 +42,8 @@ def write(spark, folder: str, rows: list[tuple], vectors: list[tuple], labels: l
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, q int, ids int").write.parquet(f"{folder}/embeddings.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string").write.parquet(f"{folder}/labels.parquet")
+    talk = [(c, k, "user", f"turn {k % 3}", 1) for c in (0, 1, 2, 150, 207) for k in range(c % 4 + 1)] + [(None, 0, None, None, 1), (3, None, None, None, 1)]
+    spark.createDataFrame(talk if rows else [], "conv_id long, turn long, role string, text string, depth int").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
