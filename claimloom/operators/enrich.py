@@ -41,15 +41,24 @@ def productions(rules, lexical: bool) -> Column:
 def apply_model(rows: DataFrame, load: Callable[[], Callable[[list[str]], Iterable]], schema: str, c: str = "text") -> DataFrame:
     """UDF-02, UDF-04, UDF-05, UDF-08, TOK-09: (doc_id, result) of any model that maps texts to values.
 
-    ``load`` runs once a task; texts that a model fails on get null.
+    ``load`` runs once a task; null texts, and those that a model fails on, get null.
     """
 
     def run(batches):
         import pandas as pd
 
         model = load()
+
+        def each(texts: list[str]) -> list:
+            try:
+                return list(model(texts))
+            except Exception:  # one of them
+                return [None] if len(texts) == 1 else each(texts[: len(texts) // 2]) + each(texts[len(texts) // 2 :])
+
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "result": list(model(b[c].tolist()))})
+            held = b[c].notna()
+            results = iter(each(b[c][held].tolist()) if held.any() else [])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "result": pd.Series([next(results) if h else None for h in held], index=b.index, dtype=object)})
 
     return rows.select("doc_id", c).mapInPandas(run, f"doc_id long, result {schema}")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,13 +69,20 @@ def nearest_centroid(vectors: DataFrame, of: DataFrame) -> DataFrame:
     return far.groupBy("vec_id").agg(F.min_by("label", F.struct("d", "label")).alias("predicted"))
 
 
+def _words(pattern: str) -> list:
+    """Stages that split ``text`` into ``_words``; a null text has none."""
+    from pyspark.ml.feature import RegexTokenizer, SQLTransformer
+
+    return [SQLTransformer(statement="SELECT *, coalesce(text, '') AS _text FROM __THIS__"), RegexTokenizer(inputCol="_text", outputCol="_words", pattern=pattern, gaps=False)]
+
+
 def fit_pipeline(train: DataFrame, kind: str = "svc", features: int = 1 << 14, **params):
     """MDL-01..06: words, hashed TF-IDF and a Spark ML classifier over (text, label)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+    from pyspark.ml.feature import IDF, HashingTF
 
-    words = RegexTokenizer(inputCol="text", outputCol="_words", pattern="[a-z0-9_]{2,}", gaps=False)
+    words = _words("[a-z0-9_]{2,}")
     tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features)
     idf = IDF(inputCol="_tf", outputCol="features")
     model = {
@@ -86,7 +94,7 @@ def fit_pipeline(train: DataFrame, kind: str = "svc", features: int = 1 << 14, *
         "forest": lambda: RandomForestClassifier(numTrees=20, seed=1, **params),
         "mlp": lambda: MultilayerPerceptronClassifier(layers=[features, 100, 100, 2], seed=1, maxIter=20, **params),
     }[kind]()
-    return Pipeline(stages=[words, tf, idf, model]).fit(train)
+    return Pipeline(stages=[*words, tf, idf, model]).fit(train)
 
 
 def model_path(spark, name: str) -> str:
@@ -118,13 +126,13 @@ def term_weights(train: DataFrame, kind: str = "svc", most: int = 20_000, min_df
     """SEL-04, SEL-05, SEL-08, SEL-10: (term, weight) of a linear model over TF-IDF of (text, label); ``most`` terms at most."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LinearSVC, LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
+    from pyspark.ml.feature import IDF, CountVectorizer
 
-    words = RegexTokenizer(inputCol="text", outputCol="_words", pattern="[a-z0-9_]{2,}", gaps=False)
+    words = _words("[a-z0-9_]{2,}")
     counted = CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=most, minDF=min_df)
     linear = LinearSVC(maxIter=20, tol=1e-3) if kind == "svc" else LogisticRegression(maxIter=20, elasticNetParam=1.0, regParam=0.01)
-    model = Pipeline(stages=[words, counted, IDF(inputCol="_tf", outputCol="features"), linear]).fit(train.filter("text IS NOT NULL"))
-    weights = zip(model.stages[1].vocabulary, model.stages[3].coefficients.toArray().tolist(), strict=True)
+    model = Pipeline(stages=[*words, counted, IDF(inputCol="_tf", outputCol="features"), linear]).fit(train)
+    weights = zip(model.stages[2].vocabulary, model.stages[4].coefficients.toArray().tolist(), strict=True)
     return train.sparkSession.createDataFrame(list(weights), "term string, weight double")  # the vocabulary: at most ``most`` rows
 
 
@@ -155,11 +163,11 @@ def topics(rows: DataFrame, k: int = 10, passes: int = 5, seed: int = 1, words:
     """MDL-11: an LDA pipeline over (text)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+    from pyspark.ml.feature import CountVectorizer
 
-    split = RegexTokenizer(inputCol="text", outputCol="_words", pattern="[a-z0-9_]{3,}", gaps=False)
+    split = _words("[a-z0-9_]{3,}")
     counted = CountVectorizer(inputCol="_words", outputCol="features", vocabSize=words, minDF=5)
-    return Pipeline(stages=[split, counted, LDA(k=k, maxIter=passes, seed=seed)]).fit(rows)
+    return Pipeline(stages=[*split, counted, LDA(k=k, maxIter=passes, seed=seed)]).fit(rows)
 
 
 def pooled_topics(model, rows: DataFrame, group: str) -> DataFrame:
@@ -167,6 +175,6 @@ def pooled_topics(model, rows: DataFrame, group: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    counted = model.stages[1].transform(model.stages[0].transform(rows))
+    counted = reduce(lambda r, stage: stage.transform(r), model.stages[:-1], rows)
     pooled = counted.groupBy(group).agg(Summarizer.sum(F.col("features")).alias("features"))  # as wide as the vocabulary
-    return model.stages[2].transform(pooled).select(group, vector_to_array("topicDistribution").alias("topics"))
+    return model.stages[-1].transform(pooled).select(group, vector_to_array("topicDistribution").alias("topics"))
