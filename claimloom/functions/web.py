@@ -34,7 +34,7 @@ def inner(c, tag: str) -> Column:
 
 def after_words(c, k: int) -> Column:
     """HTM-06: without the first k words."""
-    return F.array_join(F.slice(words(c), k + 1, 100_000), " ")
+    return F.array_join(F.slice(words(c), F.lit(k + 1), F.size(words(c)) + 1), " ")
 
 
 def anchors(c) -> Column:
@@ -49,7 +49,8 @@ def anchor_texts(c) -> Column:
 
 def citations(pages: DataFrame, skip_first: bool = False) -> DataFrame:
     """HTM-03, HTM-04: a row a link of each paragraph, numbered from 1; the claim's paragraph may be left out."""
-    parts = F.slice(F.split("html", "<p>"), 3 if skip_first else 2, 1_000_000)
+    split = F.split("html", "<p>")
+    parts = F.slice(split, F.lit(3 if skip_first else 2), F.size(split) + 1)
     rows = pages.select("page_id", "url", F.posexplode(parts).alias("p", "part"))
     return rows.select("page_id", "url", (F.col("p") + 1).cast("long").alias("paragraph"), F.explode(anchors("part")).alias("href"))
 

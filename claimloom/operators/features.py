@@ -51,9 +51,9 @@ def exploded(rows: DataFrame, array: Column, name: str = "term") -> DataFrame:
 
 
 def vocabulary(rows: DataFrame, c: str = "text", most: int = 20000) -> DataFrame:
-    """TOK-06: (term, id): ids from 1 by falling count, ties by term; the most frequent ``most``."""
+    """TOK-06: (term, id): ids from 1 by falling count, ties by term; ids from ``most`` on are left out, as 0 is for padding."""
     counts = exploded(rows, terms(c, stop=False)).groupBy("term").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "term").limit(most)
+    top = counts.orderBy(F.desc("n"), "term").limit(most - 1)
     return top.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "term"))).select("term", "id")
 
 

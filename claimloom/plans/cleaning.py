@@ -147,7 +147,7 @@ _pages("htm_01_text", lambda: W.get_text("html"), _COLLAPSE.format(_ENTITIES.for
 _pages("htm_02_section", lambda: W.section("html", "h1", "p"), r"trim(regexp_extract(html, '(?is)<h1[^>]*>[^<]*</h1>\s*<p[^>]*>(.*?)</p>', 1))")
 _pages("htm_05_anchors", lambda: W.anchors("html"), "regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1)")
 _pages("htm_06_title", lambda: W.inner("html", "title"), "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
-_pages("htm_06_after_words", lambda: W.after_words(W.inner("html", "title"), 2), r"array_to_string(list_slice(regexp_extract_all(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\S+'), 3, 100000), ' ')")
+_pages("htm_06_after_words", lambda: W.after_words(W.inner("html", "title"), 2), r"array_to_string(list_slice(regexp_extract_all(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\S+'), 3, -1), ' ')")
 _pages("htm_07_tags", lambda: F.array_join(W.anchor_texts("html"), "&"), "array_to_string(regexp_extract_all(html, '<a[^>]*>([^<]*)</a>', 1), '&')")
 _pages("url_01_netloc", lambda: W.netloc("url"), _HOST)
 _pages("url_02_domain", lambda: W.registered_domain("url"), rf"regexp_extract(regexp_replace(regexp_replace({_HOST}, '^.*@', ''), ':\d+$', ''), '([^.]+\.)?[^.]+$')")
@@ -156,7 +156,7 @@ _pages("url_04_media", lambda: W.is_media("url"), " OR ".join(f"contains(lower(u
 _pages("url_05_not_news", lambda: W.not_news("url"), " OR ".join(f"contains(url, '{m}')" for m in NOT_NEWS))
 _pages("url_06_debunker", lambda: T.from_debunker("url"), "contains(url, 'snope') OR contains(url, 'politifact')")
 
-_OUT = r"""WITH p AS (SELECT page_id, url, list_slice(string_split(html, '<p>'), 2, 1000000) AS parts FROM pages),
+_OUT = r"""WITH p AS (SELECT page_id, url, list_slice(string_split(html, '<p>'), 2, -1) AS parts FROM pages),
   e AS (SELECT page_id, url, i, regexp_extract_all(parts[i], '<a[^>]*href="([^"]*)"', 1) AS hrefs FROM (SELECT page_id, url, parts, unnest(range({low}, len(parts) + 1)) AS i FROM p))"""
 
 

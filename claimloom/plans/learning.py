@@ -46,7 +46,7 @@ def tok_05(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.sentences("text").alias("sentences"))
 
 
-_VOCAB = f"counts AS (SELECT term, count(*) AS n FROM (SELECT unnest({_ALL}) AS term FROM documents) GROUP BY term), vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY n DESC, term) AS INTEGER) AS id FROM counts QUALIFY id <= 20000)"
+_VOCAB = f"counts AS (SELECT term, count(*) AS n FROM (SELECT unnest({_ALL}) AS term FROM documents) GROUP BY term), vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY n DESC, term) AS INTEGER) AS id FROM counts QUALIFY id < 20000)"
 _IDS = f"{_VOCAB}, placed AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM (SELECT doc_id, {_ALL} AS w FROM documents)), ids AS (SELECT doc_id, list(id ORDER BY p) AS ids FROM placed JOIN vocab ON vocab.term = placed.w[placed.p] GROUP BY doc_id), every AS (SELECT d.doc_id, coalesce(ids, []) AS ids FROM documents d LEFT JOIN ids ON ids.doc_id = d.doc_id)"
 
 

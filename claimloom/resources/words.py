@@ -53,7 +53,7 @@ BOILERPLATE = (
 #: Hosts whose pages are not news articles, by part of the URL (fixed values).
 NOT_NEWS = ("twitter", "facebook", "youtu.be", "youtube", "reddit", "flickr", "wikisource")
 #: Parts of URLs that are not pages (fixed values).
-MEDIA = (".pdf", ".jpg", ".jpeg", ".png", ".gif", "jfif", ".mp3", ".mp4")
+MEDIA = (".pdf", ".jpg", ".jpeg", ".png", ".gif", ".tif", ".tiff", ".jif", "jfif", ".jpx", ".mp3", ".mp4")
 #: Fact-checking sites, by part of the URL (fixed values).
 DEBUNKERS = ("snope", "politifact")
 
