@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimloom.plans import cleaning, extraction, learning, relations, selection, serving, training  # noqa: F401
+from claimloom.plans import cleaning, extraction, learning, nearest, relations, selection, serving, training  # noqa: F401
 from claimloom.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
