@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.operators.numbering import running
+
 
 def confusion(rows: DataFrame) -> DataFrame:
     """EVL-01: (label, predicted, n)."""
@@ -46,17 +48,18 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.avg((y == p).cast("double")).alias("accuracy"), F.avg((y - p) * (y - p)).alias("mse"), F.corr(y, p).alias("pearson"))
 
 
-def roc(rows: DataFrame) -> DataFrame:
-    """EVL-07: (score, fpr, tpr): a point a distinct score, from high to low; the window runs over the grouped scores."""
+def _points(rows: DataFrame) -> DataFrame:
+    """Positive (p) and negative (n) rows a distinct score, with their sums from the highest score down."""
     by = rows.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return by.select("score", (F.sum("n").over(down) / F.sum("n").over(every)).alias("fpr"), (F.sum("p").over(down) / F.sum("p").over(every)).alias("tpr"))
+    return running(by, F.desc("score"), ["p", "n"])
+
+
+def roc(rows: DataFrame) -> DataFrame:
+    """EVL-07: (score, fpr, tpr): a point a distinct score, from high to low; a rate without rows to count is null."""
+    return _points(rows).select("score", F.try_divide("upto_n", "all_n").alias("fpr"), F.try_divide("upto_p", "all_p").alias("tpr"))
 
 
 def auc(rows: DataFrame) -> DataFrame:
-    """EVL-07: the area by trapezoids."""
-    points = roc(rows)
-    back = Window.orderBy(F.desc("score"))
-    area = (F.col("fpr") - F.coalesce(F.lag("fpr").over(back), F.lit(0.0))) * (F.col("tpr") + F.coalesce(F.lag("tpr").over(back), F.lit(0.0))) / 2
-    return points.select(area.alias("a")).agg(F.sum("a").alias("auc"))
+    """EVL-07: the area by trapezoids; null where one class has no row."""
+    area = F.try_divide("n", "all_n") * F.try_divide(2 * F.col("upto_p") - F.col("p"), "all_p") / 2
+    return _points(rows).select(area.alias("a")).agg(F.sum("a").alias("auc"))

@@ -39,3 +39,20 @@ def numbered_within(rows: DataFrame, groups: list[str], order: list, name: str =
     begins = begins.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)], "_begin", size)
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(groups)])
     return every.join(begins, same).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_all") - F.col("_begin")).alias(name), size)
+
+
+def running(rows: DataFrame, order, sums: list[str]) -> DataFrame:
+    """``rows`` with the sums of columns up to each row (``upto_*``) and over all rows (``all_*``), in the order of a unique column.
+
+    Windows run within range partitions, which are saved; a row a partition
+    tells what stands before it.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id()))
+    totals = dealt.groupBy("_p").agg(*[F.sum(c).alias(f"_t{k}") for k, c in enumerate(sums)])
+    before, every = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    base = totals.select("_p", *[F.coalesce(F.sum(f"_t{k}").over(before), F.lit(0)).alias(f"_b{k}") for k in range(len(sums))], *[F.sum(f"_t{k}").over(every).alias(f"all_{c}") for k, c in enumerate(sums)])
+    within = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(F.broadcast(base), "_p")  # a row a partition
+    upto = [(F.col(f"_b{k}") + F.sum(c).over(within)).alias(f"upto_{c}") for k, c in enumerate(sums)]
+    return placed.select(*[F.col(f"`{c}`") for c in rows.columns], *upto, *[f"all_{c}" for c in sums])

@@ -54,6 +54,8 @@ BOILERPLATE = (
 NOT_NEWS = ("twitter", "facebook", "youtu.be", "youtube", "reddit", "flickr", "wikisource")
 #: Parts of URLs that are not pages (fixed values).
 MEDIA = (".pdf", ".jpg", ".jpeg", ".png", ".gif", ".tif", ".tiff", ".jif", "jfif", ".jpx", ".mp3", ".mp4")
+#: Some public suffixes, where no whole table of them is at hand.
+SUFFIXES = ("com", "net", "org", "edu", "gov", "info", "uk", "co.uk", "org.uk", "ac.uk", "gov.uk", "au", "com.au", "jp", "co.jp", "*.ck", "!www.ck")
 #: Fact-checking sites, by part of the URL (fixed values).
 DEBUNKERS = ("snope", "politifact")
 
