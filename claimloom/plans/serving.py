@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
 from claimloom.functions import web as W
 from claimloom.operators import enrich
+from claimloom.operators.storage import shared_folder
 from claimloom.plans.base import articles, classed, query, table
 from claimloom.plans.cleaning import _COLLAPSE, _ENTITIES, _HOST, _STRIPPED
 from claimloom.sources import readers
-from claimloom.streaming import incremental
+from claimloom.streaming import incremental, keyed
 
 _BODY = r"CASE WHEN regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) ELSE html END"
 
@@ -48,6 +51,17 @@ def inc_02(spark, sf_dir):
     return incremental.refresh(e.filter("event_id < 500"), e.filter("event_id >= 500"), "user_id", "event_id").select("user_id", "event_type")
 
 
+@query("inc_02_keyed_snapshot", "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def inc_02_keyed(spark, sf_dir):
+    """Each user's newest event, kept over a stream of all events in batches of any order."""
+    place = f"{shared_folder(spark)}/claimloom-streams/{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    events.repartition(4, "event_id").write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    keyed.kept(stream, f"{place}/snapshot", f"{place}/checkpoint", "user_id", "ts", buckets=8).awaitTermination()
+    return keyed.snapshot(spark, f"{place}/snapshot", events.schema)
+
+
 @query("inc_daily_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def inc_daily(spark, sf_dir):
     return incremental.daily_counts(table(spark, sf_dir, "events")).select("day", "event_type", "n", F.round("total", 4).alias("total"))
