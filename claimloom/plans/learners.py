@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from claimloom.operators import mistakes as L
 from claimloom.operators import reduction, sparse
-from claimloom.plans.base import classed, query, table
+from claimloom.plans.base import articles, query, table
 
 LEARNERS = [L.Learner("perceptron", "perceptron"), L.Learner("passive-aggressive", "passive"), L.Learner("hinge", "hinge")]
 
 
 @query("mdl_02_mistake_driven")
 def mdl_02(spark, sf_dir):
-    """What a perceptron, a passive-aggressive and a stochastic hinge learner say of a held-out fifth."""
-    texts = classed(spark, sf_dir).select("doc_id", "text", "label")
+    """What a perceptron, a passive-aggressive and a stochastic hinge learner say of a held-out fifth's toxicity, which words tell."""
+    texts = articles(spark, sf_dir).select("doc_id", "text", F.col("toxic").alias("label"))
     rows, terms = sparse.weighted(texts)
     labelled = rows.join(texts.select("doc_id", "label"), "doc_id")
     weights, _ = L.fit(labelled.filter("doc_id % 5 <> 0"), len(terms), LEARNERS)

@@ -78,10 +78,23 @@ def test_separable_rows_end_early_and_nothing_is_learnt_of_nothing(spark):
     assert not weights.any() and not took.any()
 
 
-def test_held_out_documents(spark, sf_dir):
+def test_held_out_texts(spark):
+    rng = np.random.default_rng(6)
+    words, insults = [f"word{i}" for i in range(200)], ["oaf", "lout", "boor"]
+    said = [(i, " ".join([*rng.choice(words, 30), *([rng.choice(insults)] if i % 2 else [])]), i % 2) for i in range(400)]
+    texts = spark.createDataFrame(said, "doc_id long, text string, label int")
+    rows, terms = sparse.weighted(texts)
+    labels = texts.select("doc_id", "label")
+    weights, _ = L.fit(rows.join(labels, "doc_id").filter("doc_id % 5 <> 0"), len(terms), LEARNERS, per=100)
+    out = L.decided(rows.filter("doc_id % 5 = 0"), weights, LEARNERS).join(labels, "doc_id")
+    right = {r.learner: r.a for r in out.groupBy("learner").agg(F.avg((F.col("predicted") == F.col("label")).cast("int")).alias("a")).collect()}
+    assert len(right) == 3 and min(right.values()) >= 0.8, right  # a constant has 0.5; measured 0.85, 0.925 and 0.988
+
+
+def test_query_names_each_held_out_document_once(spark, sf_dir):
     out = catalog.QUERIES["mdl_02_mistake_driven"](spark, sf_dir)
-    right = {r.learner: (r.a, max(r.p, 1 - r.p)) for r in out.groupBy("learner").agg(F.avg((F.col("predicted") == F.col("label")).cast("int")).alias("a"), F.avg("label").alias("p")).collect()}
-    assert len(right) == 3 and all(a >= most for a, most in right.values()), right
+    held = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("doc_id % 5 = 0").count()
+    assert out.count() == held * 3 == out.select("doc_id", "learner").distinct().count()
 
 
 def test_sparse_rows_of_awkward_texts(spark):
