@@ -12,6 +12,7 @@ from claimloom.resources.words import LEXICONS, STOP_WORDS, TAG_ENDINGS, TAG_WOR
 
 TOKEN = "[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]"
 TERM = "[a-z0-9_]{2,}"
+VOWELS, CONSONANTS = "aeiouy", "b-df-hj-np-tv-xz"
 PUNCTUATION = r"[^!-/:-@\[-`{-~]"
 
 
@@ -148,15 +149,18 @@ def tag_counts(rows: DataFrame, c: str = "text") -> DataFrame:
 
 
 def readability(c="text") -> dict[str, Column]:
-    """FEA-10: closed forms over letters, words, sentences and syllables (groups of vowels); null without words."""
+    """FEA-10: closed forms over letters, words, sentences and syllables; null without words.
+
+    A word's syllables are its groups of vowels, at least one. No group crosses words, so all are counted over the whole text:
+    groups, words without a vowel, and hard words, which have three groups.
+    """
     s = F.lower(T.col(c))
-    split = F.regexp_extract_all(s, F.lit("[a-z]+"), F.lit(0))
-    words = F.size(split).cast("double")
-    letters = F.length(F.regexp_replace(s, "[^a-z]", "")).cast("double")
-    n_sentences = F.greatest(F.lit(1.0), (F.length(s) - F.length(F.regexp_replace(s, "[.!?]", ""))).cast("double"))
-    vowels = lambda w: F.greatest(F.lit(1), F.size(F.regexp_extract_all(w, F.lit("[aeiouy]+"), F.lit(0))))
-    syllables = F.aggregate(F.transform(split, vowels), F.lit(0), lambda a, x: a + x).cast("double")
-    hard = F.size(F.filter(split, lambda w: vowels(w) >= 3)).cast("double")
+    count = lambda pattern: F.regexp_count(s, F.lit(pattern)).cast("double")
+    words = count("[a-z]+")
+    letters = F.length(F.regexp_replace(s, "[^a-z]+", "")).cast("double")
+    n_sentences = F.greatest(F.lit(1.0), count("[.!?]"))
+    syllables = count(f"[{VOWELS}]+") + count(f"(?<![a-z])[{CONSONANTS}]++(?![a-z])")
+    hard = count(f"(?<![a-z])(?:[{CONSONANTS}]*+[{VOWELS}]++){{3}}[a-z]*+")
     per_sentence, per_word = F.try_divide(words, n_sentences), F.try_divide(syllables, words)
     easy = F.try_divide(hard * 3 + (words - hard), n_sentences)
     return {

@@ -14,8 +14,7 @@ from claimloom.resources.words import BOILERPLATE
 
 def right_length(c) -> Column:
     """FLT-01: at least 100 and under 30,000 words with a letter."""
-    n = T.count_words(c)
-    return (n >= 100) & (n < 30000)
+    return F.width_bucket(T.count_words(c).cast("double"), F.lit(100.0), F.lit(30000.0), F.lit(1)) == 1  # the words are counted once
 
 
 def boilerplate(c) -> Column:

@@ -161,7 +161,8 @@ _V = "greatest(1, len(regexp_extract_all(x, '[aeiouy]+')))"
 )
 def fea_10(spark, sf_dir):
     r = X.readability()
-    return docs(spark, sf_dir).select("doc_id", *[F.round(v, 6).alias(k) for k, v in r.items()]).filter("flesch IS NOT NULL")
+    with_words = docs(spark, sf_dir).filter(F.lower("text").rlike("[a-z]"))  # a filter on a score would compute it twice
+    return with_words.select("doc_id", *[F.round(v, 6).alias(k) for k, v in r.items()])
 
 
 @query("fea_11_embedding_sum", f"WITH v AS (SELECT term, embedding FROM (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT DISTINCT unnest({_TERMS}) AS term FROM documents)) JOIN embeddings ON vec_id = id), t AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL), s AS (SELECT doc_id, i, sum(n * v.embedding[i]::DOUBLE) AS s FROM t JOIN v ON v.term = t.term, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) SELECT doc_id, CAST(i - 1 AS INTEGER) AS dim, round(s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)), 6) AS value FROM s")
