@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
 from claimloom.functions import web as W
+from claimloom.operators import features as X
 from claimloom.operators import relational as R
 
 #: Layouts of the labelled corpora (fixed values): separator, header, encoding, columns, text, label, label maps.
@@ -80,10 +81,11 @@ def fixed_width(spark: SparkSession, path: str, label_width: int = 1) -> DataFra
     return rows.select(F.substring("value", 1, label_width).alias("label"), F.regexp_replace(F.expr(f"substring(value, {label_width + 1})"), r'^[\s"]+|[\s"]+$', "").alias("text"))
 
 
-def lexicons(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-18: (lexicon, term), a lexicon a file of words; comment lines (#) are left out."""
-    rows = texts(spark, folder).select(F.regexp_replace("name", r"\.txt$", "").alias("lexicon"), F.explode(F.split("text", "\n")).alias("line"))
-    return rows.filter(~F.col("line").startswith("#")).select("lexicon", F.explode(T.words("line")).alias("term")).distinct()
+def lexicons(spark: SparkSession, folder: str, encoding: str = "ISO-8859-1") -> DataFrame:
+    """SRC-18: (lexicon, term), a lexicon a file of words, parted into tokens as texts are; comment lines (#) are left out."""
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", encoding).alias("text"))
+    rows = files.select(F.regexp_replace("name", r"\.txt$", "").alias("lexicon"), F.explode(F.split("text", r"\r?\n")).alias("line"))
+    return rows.filter(~F.col("line").startswith("#")).select("lexicon", F.explode(X.tokens("line")).alias("term")).distinct()
 
 
 def category_matrix(rows: DataFrame, word: str = "Source (A)", drop: tuple = ("WC", "Analytic", "Clout", "Authentic", "Tone", "WPS")) -> DataFrame:
