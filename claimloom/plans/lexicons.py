@@ -1,4 +1,4 @@
-"""Queries of features by tables of words; the words of ``benchmark`` stand for lexicons and familiar words."""
+"""Queries of features and pieces by tables of words; the words of ``benchmark`` stand for lexicons, familiar words and pieces."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from claimloom.operators import features as X
 from claimloom.operators import lexicon as L
+from claimloom.operators import wordpiece as P
+from claimloom.operators.numbering import numbered
 from claimloom.plans.base import query, table
 
 _TOKENS = r"regexp_extract_all(text, '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]')"
@@ -35,3 +37,33 @@ def fea_10_dale_chall(spark, sf_dir):
     """The words of every other item are the familiar ones."""
     familiar = table(spark, sf_dir, "benchmark").filter("item_id % 2 = 0").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
     return L.dale_chall(table(spark, sf_dir, "documents"), familiar).withColumn("dale_chall", F.round("dale_chall", 6))
+
+
+_WORDS = rf"regexp_extract_all(lower(text), '{P.WORD}')"
+_PIECES = f"""signs AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[^\\s]')) AS s FROM documents), items AS (SELECT DISTINCT unnest({_WORDS}) AS w FROM benchmark WHERE text IS NOT NULL),
+    pieces AS (SELECT s AS piece FROM signs WHERE s <> 'q' UNION SELECT '##' || s FROM signs WHERE s <> 'q' UNION SELECT w FROM items UNION SELECT '##' || right(w, 3) FROM items WHERE length(w) > 3),
+    vocab AS (SELECT piece, CAST(row_number() OVER (ORDER BY piece) + 3 AS INTEGER) AS id FROM pieces)"""
+
+
+@query(
+    "tok_09_wordpieces",
+    f"""WITH RECURSIVE {_PIECES}, placed AS (SELECT doc_id, w[p] AS word, p FROM (SELECT doc_id, {_WORDS}[1:382] AS w FROM documents) x, unnest(range(1, len(w) + 1)) AS u(p)), every AS (SELECT DISTINCT word FROM placed WHERE length(word) <= 100),
+    places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM every), parts AS (SELECT word, i, unnest(range(1, length(word) - i + 2)) AS n FROM places),
+    best AS (SELECT word, i, max(n) AS n, max_by(id, n) AS id FROM parts JOIN vocab ON piece = CASE WHEN i > 1 THEN '##' ELSE '' END || substring(word, i, n) GROUP BY word, i),
+    walk AS (SELECT word, 1::BIGINT AS i, []::INTEGER[] AS ids FROM every UNION ALL SELECT w.word, w.i + b.n, list_append(w.ids, b.id) FROM walk w JOIN best b ON b.word = w.word AND b.i = w.i),
+    done AS (SELECT word, ids FROM walk WHERE i = length(word) + 1),
+    texts AS (SELECT doc_id, flatten(list(coalesce(ids, [1]) ORDER BY p))[1:382] AS ids FROM placed LEFT JOIN done ON done.word = placed.word GROUP BY doc_id),
+    whole AS (SELECT d.doc_id, coalesce(t.ids, []) AS ids FROM documents d LEFT JOIN texts t ON t.doc_id = d.doc_id)
+    SELECT doc_id, list_resize([2] || ids || [3], 384, 0) AS ids, CAST(len(ids) + 2 AS INTEGER) AS n_mask FROM whole""",
+)
+def tok_09(spark, sf_dir):
+    """All documents by a vocabulary of the items' words and word ends and of single signs but q: 384 ids and how many are text."""
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    signs = documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s]"), F.lit(0))).alias("s")).filter("s <> 'q'").distinct()
+    whole = items.select(F.explode(P.words("text")).alias("w")).distinct()
+    forms = signs.select(F.explode(F.array("s", F.concat(F.lit(P.WITHIN), "s"))).alias("piece"))
+    ends = whole.filter("length(w) > 3").select(F.concat(F.lit(P.WITHIN), F.expr("right(w, 3)")).alias("piece"))
+    pieces = numbered(forms.union(whole.select("w")).union(ends).distinct(), "piece", "n").select("piece", (F.col("n") + 3).cast("int").alias("id"))
+    special = spark.createDataFrame([(P.PAD, 0), (P.UNKNOWN, 1), (P.BEGIN, 2), (P.END, 3)], "piece string, id int")
+    out = P.encoded(documents, pieces.union(special))
+    return out.select("doc_id", "ids", F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_mask"))
