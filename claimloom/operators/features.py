@@ -27,19 +27,20 @@ def terms(c, stop: bool = True) -> Column:
     return F.filter(found, lambda t: ~t.isin(STOP_WORDS)) if stop else found
 
 
-def _joined(c: Column, n: int):
-    return lambda i: F.array_join(F.slice(c, i, n), " ")
-
-
 def ngrams(c: Column, low: int, high: int) -> Column:
-    """TOK-04: all n-grams of an array of words."""
-    parts = [
-        F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), _joined(c, n))).otherwise(F.array().cast("array<string>"))
-        if n > 1
-        else c
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*parts)
+    """TOK-04: all n-grams of an array of words, which is computed once; an n-gram is the one before it and a word."""
+
+    def every(w: Column) -> Column:
+        held, grams = [], w
+        for n in range(1, high + 1):
+            if n > 1:
+                size = F.greatest(F.size(w) - n + 1, F.lit(0))
+                grams = F.zip_with(F.slice(grams, F.lit(1), size), F.slice(w, F.lit(n), size), lambda a, b: F.concat(a, F.lit(" "), b))
+            if n >= low:
+                held.append(grams)
+        return F.concat(*held)
+
+    return F.get(F.transform(F.array(c), every), F.lit(0))
 
 
 def sentences(c) -> Column:
