@@ -4,7 +4,13 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from claimloom.operators import features as X
+from claimloom.operators import grid as G
+from claimloom.operators import network as N
 
 
 def test_ngrams_are_linear(spark):
@@ -20,3 +26,39 @@ def test_ngrams_are_linear(spark):
             key = (1, " ".join(words[k : k + n]))
             want[key] = want.get(key, 0) + 1
     assert out == want
+
+
+def test_few_rows_are_a_matrix():
+    """Products of a network's first layer are those of a dense matrix, and quick."""
+    rng = np.random.default_rng(1)
+    r = np.repeat(np.arange(256), 500)
+    rows = N.Sparse(256, r, rng.integers(0, 2048, len(r)), rng.normal(size=len(r)))
+    dense = np.zeros((256, 2048))
+    np.add.at(dense, (rows.r, rows.j), rows.v)
+    w, pull = rng.normal(size=(2048, 100)), rng.normal(size=(256, 100))
+    assert np.allclose(rows.times(w), dense @ w) and np.allclose(rows.transposed(pull, 2048), dense.T @ pull)
+    slots = [sorted(rng.integers(0, 9, size=rng.integers(0, 30)).tolist()) for _ in range(300)] + [[]]
+    batch = pa.RecordBatch.from_pydict({"slots": pa.array(slots, pa.list_(pa.int32()))})
+    for at, x in N.read(batch):
+        for k in range(x.n):
+            found = {int(j): v for j, v in zip(x.j[x.r == k], x.v[x.r == k], strict=True)}
+            want = {j: 1 + np.log(slots[at + k].count(j)) for j in set(slots[at + k])}
+            norm = np.sqrt(sum(v * v for v in want.values()))
+            assert found == {j: pytest.approx(v / norm) for j, v in want.items()}
+    began = time.time()
+    for _ in range(20):
+        rows = N.Sparse(rows.n, rows.r, rows.j, rows.v)
+        rows.times(w), rows.transposed(pull, 2048)
+    assert time.time() - began < 8
+
+
+def test_grid_prepares_without_a_row_an_ngram(spark, monkeypatch):
+    """What is saved has a row a document or a feature of another block, not a row an n-gram."""
+    saved = []
+    real = G.written
+    monkeypatch.setattr(G, "written", lambda rows: saved.append(real(rows)) or saved[-1])
+    texts = spark.createDataFrame([(k, " ".join(f"w{(k * 7 + x) % 40}" for x in range(50)), k % 2) for k in range(30)], "doc_id long, text string, label int")
+    known = G.prepared(texts, {}, [G.Setting("x", ngram=3, min_df=2)])
+    assert max(rows.count() for rows in saved) == 30
+    df = X.term_counts(texts, high=3).groupBy("term").count().filter("count >= 2").collect()
+    assert {f"{G.TERMS}:{r.term}": r["count"] for r in df} == dict(zip(known.names, known.df.sum(axis=0).astype(int).tolist(), strict=True))
