@@ -107,16 +107,19 @@ class Sparse:
 
     def __init__(self, n: int, r: np.ndarray, j: np.ndarray, v: np.ndarray):
         self.n, self.r, self.j, self.v = n, r, j, v
+        self._dense: np.ndarray | None = None
+
+    def dense(self, size: int) -> np.ndarray:
+        """The rows as a matrix: few rows at a time, whose products are then of matrices."""
+        if self._dense is None:
+            self._dense = np.bincount(self.r * size + self.j, self.v, self.n * size).reshape(self.n, size)
+        return self._dense
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, w.shape[1]))
-        np.add.at(out, self.r, w[self.j] * self.v[:, None])
-        return out
+        return self.dense(len(w)) @ w
 
     def transposed(self, pull: np.ndarray, size: int) -> np.ndarray:
-        out = np.zeros((size, pull.shape[1]))
-        np.add.at(out, self.j, pull[self.r] * self.v[:, None])
-        return out
+        return self.dense(size).T @ pull
 
 
 def read(batch: pa.RecordBatch, most: int = 256) -> Iterator[tuple[int, Sparse]]:
@@ -124,11 +127,12 @@ def read(batch: pa.RecordBatch, most: int = 256) -> Iterator[tuple[int, Sparse]]
     for at in range(0, batch.num_rows, most):
         column = batch.column("slots").slice(at, most)
         n = len(column)
-        r = np.repeat(np.arange(n), np.diff(column.offsets.to_numpy()))
-        pairs, times = np.unique(np.stack([r, column.flatten().to_numpy()]), axis=1, return_counts=True) if len(r) else (np.zeros((2, 0), dtype=int), np.zeros(0))
-        v = 1 + np.log(np.maximum(times, 1))
-        norm = np.sqrt(np.bincount(pairs[0], v * v, n)) if len(r) else np.ones(n)
-        yield at, Sparse(n, pairs[0], pairs[1], v / norm[pairs[0]] if len(r) else v)
+        r, j = np.repeat(np.arange(n), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy()
+        begins = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (j[1:] != j[:-1]))) if len(r) else np.zeros(0, dtype=np.int64)
+        v = 1 + np.log(np.diff(np.append(begins, len(r))))
+        r, j = r[begins], j[begins]
+        norm = np.sqrt(np.bincount(r, v * v, n))
+        yield at, Sparse(n, r, j, v / norm[r])
 
 
 def ready(rows: DataFrame, slots: int) -> DataFrame:
