@@ -52,9 +52,13 @@ def exploded(rows: DataFrame, array: Column, name: str = "term") -> DataFrame:
     return rows.select("doc_id", F.explode(array).alias(name))
 
 
-def vocabulary(rows: DataFrame, c: str = "text", most: int = 20000) -> DataFrame:
-    """TOK-06: (term, id): ids from 1 by falling count, ties by term; ids from ``most`` on are left out, as 0 is for padding."""
+def vocabulary(rows: DataFrame, c: str = "text", most: int | None = 20000) -> DataFrame:
+    """TOK-06: (term, id): ids from 1 by falling count, ties by term; all terms, or without ids from ``most`` on, as 0 is for padding."""
     counts = exploded(rows, terms(c, stop=False)).groupBy("term").agg(F.count("*").alias("n"))
+    if most is None:
+        from claimloom.operators.numbering import numbered
+
+        return numbered(counts.select("term", (-F.col("n")).alias("_n")), ["_n", "term"], "id").select("term", F.col("id").cast("int").alias("id"))
     top = counts.orderBy(F.desc("n"), "term").limit(most - 1)
     return top.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "term"))).select("term", "id")
 
