@@ -62,3 +62,24 @@ def test_grid_prepares_without_a_row_an_ngram(spark, monkeypatch):
     assert max(rows.count() for rows in saved) == 30
     df = X.term_counts(texts, high=3).groupBy("term").count().filter("count >= 2").collect()
     assert {f"{G.TERMS}:{r.term}": r["count"] for r in df} == dict(zip(known.names, known.df.sum(axis=0).astype(int).tolist(), strict=True))
+
+
+def test_vocabulary_is_whole(spark):
+    """No term is left out beyond 20,000."""
+    rows = spark.createDataFrame([(k, " ".join(f"t{x}" for x in range(k, 20_100, 3))) for k in range(3)] + [(9, "t5 t7 t7")], "doc_id long, text string")
+    got = sorted((r.id, r.term) for r in X.vocabulary(rows, most=None).collect())
+    assert len(got) == 20_100 and got[:2] == [(1, "t7"), (2, "t5")] and [i for i, _ in got] == list(range(1, 20_101))
+    assert X.vocabulary(rows).count() == 19_999
+
+
+def test_counts_shuffle_texts_alone(spark):
+    """One exchange, by document, before words are rows."""
+    rows = spark.createDataFrame([(1, "aa bb aa"), (1, "aa"), (2, None)], "doc_id long, text string")
+    counts = X.term_counts(rows)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, counts.collect())) == [(1, "aa", 3), (1, "bb", 1)]
+    vectors = spark.createDataFrame([("aa", [3.0, None]), ("bb", [0.0, 4.0, 5.0])], "term string, vector array<float>")
+    got = {(r.doc_id, r.dim): r.value for r in X.embedding_sum(rows, vectors).collect()}
+    norm = np.sqrt(81 + 16 + 25)
+    assert got == {(1, 0): pytest.approx(9 / norm), (1, 1): pytest.approx(4 / norm), (1, 2): pytest.approx(5 / norm)}
