@@ -16,7 +16,7 @@ then line number) stays, the others go.
 2.  Keys (hashes of level, range, segment, substring) are counted with partial
     aggregation to (key, least line, greatest line); a line that fills a third
     of the corpus is a row a task.  Only rows of keys that several lines give
-    are made again with their texts.
+    are made again, as hashes; the texts of their lines are looked up once.
 3.  Every line of a key is held against the least and the greatest one: a row a
     line, not a row a pair.  What that links is one class.  Then lines of a key
     that are not yet of one class are held against each other, all of them, so
@@ -211,12 +211,23 @@ def _seems_near(a: str, b: str) -> str:
     return f"levenshtein({a}line, {b}line, {limit(f'least({a}n, {b}n)')}) >= 0"
 
 
+def met(docs: DataFrame, several: DataFrame) -> DataFrame:
+    """(key, low, high, h): the lines of the keys that several lines give, by hashes alone: a line has many keys, and its text may be long."""
+    return keyed(docs).select("key", "h").join(bounded(several), "key").distinct().select("key", "low", "high", "h")
+
+
+def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, line): the texts of the lines ``wanted`` (h), each once."""
+    every = lines(docs).filter(F.length("line") >= MIN_CHARS).select(F.xxhash64("line").alias("h"), "line")
+    return every.join(bounded(wanted), "h", "left_semi").distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(h1, h2, class): each distinct line that is near another one, and the number of its class."""
     several = materialise(keyed(docs).groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high"), "line-keys")
-    hits = materialise(keyed(docs).join(bounded(several), "key").distinct(), "line-hits")
+    hits = materialise(met(docs, several), "line-hits")
     base = "CASE " + " ".join(f"WHEN n >= {low} THEN greatest({low}, {width} * (n div {width}) - {k})" for low, k, width in reversed(LEVELS)) + " END"
-    held = hits.select("h", "line").distinct().withColumn("n", F.length("line")).withColumn("base", F.expr(f"cast({base} as int)"))
+    held = line_texts(docs, materialise(hits.select("h").distinct(), "line-met")).withColumn("n", F.length("line")).withColumn("base", F.expr(f"cast({base} as int)"))
     held = held.withColumn("p", F.expr("left(line, base div 2)")).withColumn("q", F.expr("right(line, base - base div 2)"))
     counts = [F.expr(f"length({half}) - length(replace({half}, '{x}', ''))").alias(f"{half}{k}") for half in "pq" for k, x in enumerate(SIGNS)]
     held = materialise(held.select(F.monotonically_increasing_id().alias("node"), "h", "line", "n", "base", *counts), "line-texts")
