@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from claimloom.llm import simhash
+from claimloom.llm import near_dedup, simhash
 
 
 def shingle_set(text):
@@ -43,3 +43,17 @@ def test_near_duplicates_at_the_threshold(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (None, texts[0]), (900, None)], "doc_id long, text string")
     kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert sorted(kept) == sorted(set(root))  # the row without a doc_id is a copy of one that has it
+
+
+def test_candidates_are_those_of_wide_fingerprints(spark):
+    """Random texts meet by SimHash cells: a pair's fingerprints tell whether it is counted at all."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    near, far = list(base), [f"w{rng.randrange(5000)}" for _ in range(300)]
+    for at in (20, 80, 140, 200):
+        near[at] = "other"
+    words = [near_dedup.fingerprint(near_dedup.shingles(" ".join(t))).view("uint64") for t in (base, near, far)]
+    differ = lambda a, b: int(sum((int(x) ^ int(y)).bit_count() for x, y in zip(a, b, strict=True)))
+    assert 0 < differ(words[0], words[1]) <= near_dedup.NEAR < differ(words[0], words[2])
+    docs = spark.createDataFrame([(7, " ".join(base)), (3, " ".join(near)), (5, " ".join(far)), (5, " ".join(far)), (5, " ".join(base))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text == " ".join(near)) for r in near_dedup.dedup(docs).collect()) == [(3, True), (5, False)]
