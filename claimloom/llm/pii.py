@@ -34,7 +34,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import materialise, own_column, prepare, steadily, table, texts
@@ -50,6 +50,8 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 REACH, SUPPORT, DISCLOSURE, PRIOR = 8, 3, 0.9, 1.0
 #: Terms shorter than this say nothing about anyone.
 MIN_TERM = 3
+#: Terms whose list goes to tasks at most; beyond, they are joined.
+LISTED = 500_000
 
 
 def luhn(digits: str) -> bool:
@@ -139,16 +141,21 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df): distinct texts of the corpus that hold each of ``terms``.
+    """(term, df): distinct texts of the corpus that hold each of ``terms`` (saved).
 
-    Words of each distinct text are counted in bounded maps that are sent on when full.
+    Words of each distinct text are counted in bounded maps that are sent on when full.  Up to ``LISTED`` terms, tasks have the
+    list and count no other word; beyond, all words are counted and joined.
     """
+    few = terms.count() <= LISTED
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.toLocalIterator()) if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        wanted = shared.value
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(set(WORD.findall(text.lower())))
+                words = WORD.findall(text.lower())
+                seen.update(set(words) if wanted is None else wanted.intersection(words))
                 if len(seen) > 200_000:
                     yield pa.RecordBatch.from_pydict({"term": list(seen), "df": list(seen.values())})
                     seen.clear()
@@ -157,7 +164,8 @@ def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     distinct = texts(docs).groupBy(F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s")).agg(F.first("text").alias("text")).select("text")
     counted = distinct.mapInArrow(steadily(run), "term string, df long")
-    return counted.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = counted if few else counted.join(terms, "term", "left_semi")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def revealing(docs: DataFrame, scanned: DataFrame, reach: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -168,16 +176,19 @@ def revealing(docs: DataFrame, scanned: DataFrame, reach: float = DISCLOSURE, su
     by_value = F.col("entity").contains(":")
     pairs = mentions.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(~by_value | (F.col("both") >= support))
     entities = scanned.select("key", F.explode("mentioned").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    pairs = materialise(pairs, "pii-pairs")
-    if pairs.isEmpty():
-        return pairs.select("term")
     n = F.lit(float(scanned.select("key").distinct().count()))
-    terms = term_frequencies(docs, pairs.select("term").distinct())
-    joined = pairs.join(entities, "entity").join(terms, "term")
     prior = F.when(by_value, 0.0).otherwise(PRIOR)
-    share = (F.col("both") + prior * F.col("df_entity") / n) / (F.col("df") + prior)
-    pmi = F.log2(share * n / F.col("df_entity"))
-    return joined.filter(pmi >= reach * F.log2(n / F.col("df_entity"))).filter(pmi > 0).select("term").distinct()
+
+    def told(df: Column) -> Column:
+        pmi = F.log2((F.col("both") + prior * F.col("df_entity") / n) / (df + prior) * n / F.col("df_entity"))
+        return (pmi >= reach * F.log2(n / F.col("df_entity"))) & (pmi > 0)
+
+    # a term stands in as many texts at least as near the entity: pairs that would not tell then are not counted in the corpus
+    pairs = materialise(pairs.join(entities, "entity").filter(told(F.col("both"))), "pii-pairs")
+    if pairs.isEmpty():
+        return pairs.select("term")
+    terms = term_frequencies(docs, materialise(pairs.select("term").distinct(), "pii-candidates"))
+    return pairs.join(terms, "term").filter(told(F.col("df"))).select("term").distinct()
 
 
 def mark(docs: DataFrame, told: frozenset[str]) -> DataFrame:
