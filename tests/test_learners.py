@@ -130,3 +130,24 @@ def test_fewer_features_than_components_and_none(spark):
     assert np.allclose(found.values, [2]) and {r.doc_id: r.components for r in reduction.projected(df, found).collect()} == {1: [2.0], 2: [0.0]}
     none = reduction.decomposed(df.limit(0), 0)
     assert len(none.values) == 0 and reduction.projected(df.limit(0), none).count() == 0
+
+
+def test_folds_read_texts_once(spark):
+    """Cross-validation over saved counts says what a whole pipeline a fold says, and reads no text again."""
+    from pyspark.sql import functions as F
+
+    from claimloom.operators import models as M
+
+    rows = spark.createDataFrame([(i, f"good word{i % 7} plain" if i % 3 else f"bad word{i % 7} plain", int(i % 3 > 0) if i % 11 else 0, i % 3 + 1) for i in range(120)], "doc_id long, text string, label int, fold int")
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        reads.add(1)
+        return text
+
+    got = M.cross_validate(rows.withColumn("text", F.udf(read, "string")("text")), "logistic")
+    assert 120 <= reads.value < 3 * 120  # once a fold and stage it would be 9 times
+    for fold, scores in enumerate(got, 1):
+        scored = M.fit_pipeline(rows.filter(F.col("fold") != fold), "logistic").transform(rows).withColumn("right", (F.col("prediction") == F.col("label")).cast("double"))
+        want = scored.agg(F.avg(F.when(F.col("fold") != fold, F.col("right"))), F.avg(F.when(F.col("fold") == fold, F.col("right")))).first()
+        assert np.allclose(scores, want)
