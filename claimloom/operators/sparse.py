@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.operators import features as X
-from claimloom.operators.storage import written
+from claimloom.operators.storage import saved, written
 
 #: Rows of a batch that numpy looks at together.
 TOGETHER = 512
@@ -27,7 +27,7 @@ def weighted(texts: DataFrame, most: int = 20_000, high: int = 1, min_df: int =
     spark = texts.sparkSession
     texts = texts.filter("doc_id IS NOT NULL").select("doc_id", "text")
     keys = texts.select("doc_id").distinct()
-    counts = written(X.term_counts(texts, high=high))
+    counts = saved(X.term_counts(texts, high=high))  # a row a document and term
     told = X.fit_idf(counts, keys.count(), min_df, max_df).orderBy(F.desc("df"), "term").limit(most).toArrow().to_pylist()  # at most ``most``
     ids = spark.createDataFrame([(r["term"], j, r["idf"]) for j, r in enumerate(told)], "term string, j int, idf double")
     raw = counts.join(F.broadcast(ids), "term").select("doc_id", "j", ((1 + F.log("tf")) * F.col("idf")).alias("w"))

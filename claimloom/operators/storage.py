@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,13 @@ def written(rows: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()
+
+
+def saved(rows: DataFrame) -> DataFrame:
+    """``rows`` computed once and saved as Parquet: smaller and faster for long tables than ``written``, but readers may part them anew."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/claimloom-tables/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(rows.schema).parquet(path)

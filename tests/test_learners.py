@@ -151,3 +151,16 @@ def test_folds_read_texts_once(spark):
         scored = M.fit_pipeline(rows.filter(F.col("fold") != fold), "logistic").transform(rows).withColumn("right", (F.col("prediction") == F.col("label")).cast("double"))
         want = scored.agg(F.avg(F.when(F.col("fold") != fold, F.col("right"))), F.avg(F.when(F.col("fold") == fold, F.col("right")))).first()
         assert np.allclose(scores, want)
+
+
+def test_counts_of_weighted_rows_are_saved_as_columns(spark, monkeypatch):
+    """The long table of documents and terms is no checkpoint of single objects; what is saved reads alike."""
+    from claimloom.operators import storage
+
+    kept = []
+    monkeypatch.setattr(sparse, "written", lambda rows: kept.append(rows.columns) or storage.written(rows))
+    texts = spark.createDataFrame([(i, f"alpha word{i % 5} word{i % 3} beta") for i in range(40)] + [(99, None)], "doc_id long, text string")
+    rows, terms = sparse.weighted(texts)
+    assert kept == [["doc_id", "js", "vs"]] and len(terms) == 7
+    got = {r.doc_id: r for r in rows.collect()}
+    assert len(got) == 41 and got[99].js == [] and all(np.isclose(sum(v * v for v in r.vs), 1) for k, r in got.items() if k != 99)
