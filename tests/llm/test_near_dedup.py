@@ -57,3 +57,35 @@ def test_candidates_are_those_of_wide_fingerprints(spark):
     assert 0 < differ(words[0], words[1]) <= near_dedup.NEAR < differ(words[0], words[2])
     docs = spark.createDataFrame([(7, " ".join(base)), (3, " ".join(near)), (5, " ".join(far)), (5, " ".join(far)), (5, " ".join(base))], "doc_id long, text string")
     assert sorted((r.doc_id, r.text == " ".join(near)) for r in near_dedup.dedup(docs).collect()) == [(3, True), (5, False)]
+
+
+def test_like_texts_below_the_threshold_make_no_row_a_pair(spark, monkeypatch):
+    """A group whose texts are alike by some 0.6: fingerprints let its pairs through, sketches don't; none at 0.8 is lost."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(160):
+        copy = list(base)
+        for at in rng.sample(range(5, 145), 4):  # up to 20 of 146 shingles, so two texts share some 110 of 180
+            copy[at] = f"x{k}y{at}"
+        texts.append(" ".join(copy))
+    for k in range(0, 160, 16):
+        texts.append(" ".join([*texts[k].split()[:-1], "other"]))  # one shingle less
+    saved = {}
+    real = near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda rows, what: saved.setdefault(what, real(rows, what)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in near_dedup.dedup(docs).collect())
+    sets = [shingle_set(t) for t in texts]
+    root, near = list(range(len(texts))), 0
+    words = [near_dedup.fingerprint(near_dedup.shingles(t)).view("uint64") for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            near += sum((int(x) ^ int(y)).bit_count() for x, y in zip(words[i], words[j], strict=True)) <= near_dedup.NEAR
+            odd = [near_dedup.sketch(near_dedup.shingles(texts[k]))[1:].view("uint64") for k in (i, j)] if j % 40 == 0 else None
+            assert odd is None or sum((int(x) ^ int(y)).bit_count() for x, y in zip(*odd, strict=True)) <= len(sets[i] ^ sets[j])
+            if alike(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert kept == sorted(set(root)) and len(kept) <= 160
+    assert near > 5000 > 500 > saved["near-apart"].count()
