@@ -75,8 +75,9 @@ def bounded(df: DataFrame, weight: str = "1") -> DataFrame:
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, t1, t2, k, line): every line with a word, its number and 128 bits that stand for its text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    split = rows.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    # hashes first: beside the explode they would be computed once a line
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"))
+    split = rows.select("doc_id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("k", "line"))
     word = F.expr(r"ascii(ltrim(line)) > 32") | F.col("line").rlike(r"[^\x20\x09-\x0D]")  # the first spares most lines the pattern
     return split.filter(word)
 

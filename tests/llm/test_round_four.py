@@ -21,3 +21,12 @@ def test_keys_meet_without_their_lines(spark, monkeypatch):
     assert "line" not in line_dedup.met(docs, several).columns
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, line_dedup.verdicts(docs).select("id", "gone").collect())) == few
+
+
+def test_texts_are_hashed_once_not_once_a_line(spark):
+    """What names a text is computed below the explode of its lines."""
+    docs = spark.createDataFrame([(1, "a b\nc d"), (2, None)], "doc_id long, text string")
+    plan = line_dedup.hashed(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("xxhash64(text") == plan.count("xxhash64(1, text") == 1
+    assert plan.index("Generate") < min(plan.index("xxhash64(text"), plan.index("xxhash64(1, text"))
+    assert len({(r.t1, r.t2) for r in line_dedup.hashed(docs).collect()}) == 1
