@@ -130,9 +130,17 @@ def _count_in(c: str, words) -> Column:
 
 
 def lexicon_join(rows: DataFrame, lexicon: DataFrame, c: str = "text") -> DataFrame:
-    """JON-08: (doc_id, lexicon, n): tokens that are in a lexicon table (lexicon, term), grouped before and after the join."""
-    counted = exploded(rows, tokens(c)).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    return counted.join(lexicon, "term").groupBy("doc_id", "lexicon").agg(F.sum("n").alias("n"))
+    """JON-08: (doc_id, lexicon, n): tokens that are in a lexicon table (lexicon, term).
+
+    A lexicon that is broadcast meets the tokens where they are found, so only counts a document and lexicon are shuffled;
+    a larger one meets tokens counted a document and word.
+    """
+    held = written(lexicon)
+    found = exploded(rows, tokens(c))
+    if held.count() <= BROADCAST_ROWS:
+        return found.join(F.broadcast(held), "term").groupBy("doc_id", "lexicon").agg(F.count("*").alias("n"))
+    counted = found.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return counted.join(held, "term").groupBy("doc_id", "lexicon").agg(F.sum("n").alias("n"))
 
 
 def tag(c: Column) -> Column:

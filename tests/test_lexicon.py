@@ -53,3 +53,13 @@ def test_lexicon_files(spark, tmp_path):
     (tmp_path / "hedges.txt").write_bytes("# naïve list\r\nso-called\r\nclich\xe9\r\n".encode("latin-1"))
     (tmp_path / "empty.txt").write_bytes(b"")
     assert {tuple(r) for r in readers.lexicons(spark, str(tmp_path)).collect()} == {("hedges", t) for t in ("so", "-", "called", "clich", "é")}
+
+
+def test_tokens_meet_small_lexicons_before_any_shuffle(spark, rows):
+    """What is shuffled is counts a document and lexicon, not a document and word."""
+    from claimloom.operators import features as X
+
+    lexicon = spark.createDataFrame([("hedges", "may"), ("hedges", "be"), ("signs", ",")], "lexicon string, term string")
+    out = X.lexicon_join(rows, lexicon)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(r) for r in out.collect()) == [(0, "hedges", 3), (0, "signs", 1)]
