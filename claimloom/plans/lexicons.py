@@ -59,11 +59,11 @@ _PIECES = f"""signs AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '
 def tok_09(spark, sf_dir):
     """All documents by a vocabulary of the items' words and word ends and of single signs but q: 384 ids and how many are text."""
     documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    signs = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s]"), F.lit(0)))).alias("s")).filter("s <> 'q'").distinct()
+    signs = P.signs(documents).filter("s <> 'q'")
     whole = items.select(F.explode(P.words("text")).alias("w")).distinct()
     forms = signs.select(F.explode(F.array("s", F.concat(F.lit(P.WITHIN), "s"))).alias("piece"))
     ends = whole.filter("length(w) > 3").select(F.concat(F.lit(P.WITHIN), F.expr("right(w, 3)")).alias("piece"))
     pieces = numbered(forms.union(whole.select("w")).union(ends).distinct(), "piece", "n").select("piece", (F.col("n") + 3).cast("int").alias("id"))
     special = spark.createDataFrame([(P.PAD, 0), (P.UNKNOWN, 1), (P.BEGIN, 2), (P.END, 3)], "piece string, id int")
     out = P.encoded(documents, pieces.union(special))
-    return out.select("doc_id", "ids", F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_mask"))
+    return out.select("doc_id", "ids", F.size(F.array_remove("mask", 0)).alias("n_mask"))
