@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from claimloom.resources.words import LEXICONS, STOP_WORDS, TAG_ENDINGS, TAG_WOR
 
 TOKEN = "[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]"
 TERM = "[a-z0-9_]{2,}"
+#: Distinct tokens whose tags a task remembers at once.
+REMEMBERED = 100_000
 VOWELS, CONSONANTS = "aeiouy", "b-df-hj-np-tv-xz"
 PUNCTUATION = r"[^!-/:-@\[-`{-~]"
 
@@ -143,22 +149,48 @@ def lexicon_join(rows: DataFrame, lexicon: DataFrame, c: str = "text") -> DataFr
     return counted.join(held, "term").groupBy("doc_id", "lexicon").agg(F.sum("n").alias("n"))
 
 
-def tag(c: Column) -> Column:
-    """FEA-07: a tag by word list, then by ending (no tagger is at hand; a table or UDF can take its place)."""
-    out = F.when(c.rlike("^[0-9]+$"), "NUM").when(c.rlike("^[^A-Za-z0-9_]+$"), ".")
-    low = F.lower(c)
-    for name, words in TAG_WORDS.items():
-        out = out.when(low.isin(words), name)
-    for ending, name in TAG_ENDINGS:
-        out = out.when(low.endswith(ending), name)
-    return out.otherwise("X")
+class Tags(dict):
+    """FEA-07: the tags of tokens, found as they are asked for: by word list, then by ending (no tagger is at hand; another mapping can take its place)."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[token] = out = self.tag(token)
+        return out
+
+    @staticmethod
+    def tag(token: str) -> str:
+        if not token.isascii() or not re.search("[A-Za-z0-9_]", token):
+            return "."
+        if token.isdigit():
+            return "NUM"
+        low = token.lower()
+        listed = (name for name, words in TAG_WORDS.items() if low in words)
+        ended = (name for ending, name in TAG_ENDINGS if low.endswith(ending))
+        return next(listed, None) or next(ended, "X")
 
 
 def tag_counts(rows: DataFrame, c: str = "text") -> DataFrame:
-    """FEA-07, FEA-08: (doc_id, tag, n, ratio) with one added to each tag's count."""
-    tagged = rows.select("doc_id", F.transform(tokens(c), tag).alias("_t"))
-    each = F.array(*[F.struct(F.lit(t).alias("tag"), (F.size("_t") - F.size(F.array_remove("_t", t)) + 1).alias("n")) for t in sorted(TAGS)])
-    long = tagged.select("doc_id", F.size("_t").alias("_n"), F.explode(each).alias("x"))
+    """FEA-07, FEA-08: (doc_id, tag, n, ratio) with one added to each tag's count; null for a null text.
+
+    A token's tag is looked up in its task: as an expression it was told anew for each token, most of the time of the query.
+    """
+    names = sorted(TAGS)
+    pattern = re.compile(TOKEN, re.ASCII)  # white space as in ``tokens``
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Tags()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = [None if text is None else Counter(map(known.__getitem__, pattern.findall(text))) for text in part.column(1).to_pylist()]
+                counts = pa.array([None if n is None else [n[t] for t in names] for n in found], pa.list_(pa.int32()))
+                totals = pa.array([None if n is None else n.total() for n in found], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), totals, counts], ["doc_id", "_n", "_c"])
+
+    tagged = rows.select("doc_id", c).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _n int, _c array<int>")
+    each = F.array(*[F.struct(F.lit(t).alias("tag"), (F.get("_c", F.lit(k)) + 1).alias("n")) for k, t in enumerate(names)])
+    long = tagged.select("doc_id", "_n", F.explode(each).alias("x"))
     return long.select("doc_id", "x.tag", "x.n", (F.col("x.n") / (F.col("_n") + len(TAGS))).alias("ratio"))
 
 
