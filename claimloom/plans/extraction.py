@@ -27,16 +27,14 @@ def htm_01_elements(spark, sf_dir):
 @query("htm_02_beside", f"SELECT page_id, trim({_PLAIN.format(chr(39).join(['regexp_extract(html, ', '<div class="ad">([^<]*)</div>', ', 1)']))}) AS text FROM pages")
 def htm_02_beside(spark, sf_dir):
     """What stands beside the navigation."""
-    _, rows = _read(spark, sf_dir)
-    return K.section(rows, K.of(rows, "nav"), K.plain("text"))
+    return K.section_held(K.held(table(spark, sf_dir, "pages")), "nav", lambda e: K.plain(K.text_of(e)))
 
 
 @query("htm_02_after_title")
 def htm_02_after_title(spark, sf_dir):
     """What stands beside the heading that repeats the page's title."""
-    _, rows = _read(spark, sf_dir)
-    titles = K.of(rows, "title").groupBy("page_id").agg(F.min_by("text", "idx").alias("title"))
-    return K.section(rows, K.of(rows, "h1").join(titles, "page_id"), K.plain("title"))
+    pages = K.first_held(K.held(table(spark, sf_dir, "pages")), "t", lambda e: e.tag == "title")
+    return K.section_held(pages, "h1", lambda _: K.plain(K.text_of(F.col("t"))))
 
 
 @query("htm_03_links_after", f"WITH {_ITEMS} SELECT page_id, n AS paragraph, regexp_extract(x[n], 'href=\"([^\"]*)\"', 1) AS href FROM i WHERE n <= 2")
