@@ -164,3 +164,26 @@ def test_counts_of_weighted_rows_are_saved_as_columns(spark, monkeypatch):
     assert kept == [["doc_id", "js", "vs"]] and len(terms) == 7
     got = {r.doc_id: r for r in rows.collect()}
     assert len(got) == 41 and got[99].js == [] and all(np.isclose(sum(v * v for v in r.vs), 1) for k, r in got.items() if k != 99)
+
+
+def test_counts_are_a_row_a_document(spark, monkeypatch):
+    """No row a document and term is made for weights; n-grams and several texts of a document count together."""
+    from claimloom.operators import storage
+
+    kept = []
+    monkeypatch.setattr(sparse, "saved", lambda rows: kept.append(storage.saved(rows)) or kept[-1])
+    said = [(i, f"alpha word{i % 5} alpha beta") for i in range(40)] + [(99, None), (7, "gamma alpha"), (None, "fig")]
+    texts = spark.createDataFrame(said, "doc_id long, text string")
+    rows, terms = sparse.weighted(texts, high=2, min_df=2)
+    assert kept[0].count() == 41 and kept[0].select("doc_id").distinct().count() == 41
+    df = {}
+    for i in range(40):
+        own = {"alpha", f"word{i % 5}", "beta", f"alpha word{i % 5}", f"word{i % 5} alpha", "alpha beta"}
+        for term in own | ({"gamma", "gamma alpha"} if i == 7 else set()):
+            df[term] = df.get(term, 0) + 1
+    assert terms == sorted((t for t in df if df[t] >= 2), key=lambda t: (-df[t], t))
+    got = {r.doc_id: r for r in rows.collect()}
+    w = {terms[j]: v for j, v in zip(got[7].js, got[7].vs, strict=True)}
+    idf = {t: np.log(42 / (1 + df[t])) + 1 for t in terms}
+    assert w["alpha"] / w["word2"] == pytest.approx((1 + np.log(3)) * idf["alpha"] / idf["word2"]) and list(got[7].js) == sorted(got[7].js)
+    assert len(got) == 41 and got[99].js == []
